@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import chat, packing, warc
+from tarn.llm import chat, neardup, packing, toxicity, warc
 from tarn.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.bundle_and_read(table(spark, sf_dir, "pages")).drop("payload")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in components of near duplicates."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenized whole, in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -29,7 +34,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(c.unionByName(more)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op3_pack, op4_chat)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learned from the labelled ones that aren't held out."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_near_duplicates, op3_pack, op4_chat, op5_toxicity)}
 
 #: DuckDB's SHA-1 is hexadecimal; base 32 takes its 160 bits in 32 groups of five.
 OP1_SQL = """
@@ -44,4 +54,15 @@ SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
 FROM p JOIN g USING (hex) JOIN pages p_url ON p_url.page_id = p.page_id
 """
 
-SQL: dict[str, str] = {"op1_warc": OP1_SQL}
+OP2_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * common >= 75 * (nx.n + ny.n - common)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM t UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_near_duplicates": OP2_SQL}
