@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -53,3 +53,28 @@ def forget(df: DataFrame) -> None:
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (bigint) and text of docs and the named columns, whatever else it has; a null text stays null."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+_LOCAL = (1 << 33) - 1
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """df with rank__ (from 0 within its group) and total__ (rows of its group), as a written table.
+
+    Rows are dealt by ranges of (group, order) and sorted there; a row's rank is its place in its partition plus the
+    group's rows in earlier partitions, of which there are few numbers. So a group of any size is spread, and no
+    window holds it. Ties are broken by the place in the input; null groups are groups, null keys come first.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c).asc_nulls_first() for c in (*group, *order)] + [F.col("tie__")]
+    d = df.withColumn("tie__", F.monotonically_increasing_id())
+    d = d.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("tie__").withColumn("at__", F.monotonically_increasing_id())
+    d = written(d.withColumn("part__", F.shiftright("at__", 33)).withColumn("at__", F.col("at__").bitwiseAND(F.lit(_LOCAL))), name)
+    n = d.groupBy(*group, "part__").agg(F.count("*").alias("n__"), F.min("at__").alias("low__"))
+    by = Window.partitionBy(*group)
+    n = n.select(*group, "part__", (F.coalesce(F.sum("n__").over(by.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("low__")).alias("before__"), F.sum("n__").over(by).alias("total__"))
+    n = n.toDF(*[f"{c}__of" if c in group else c for c in n.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"{c}__of")) for c in group]
+    out = d.withColumnRenamed("part__", "own__").join(n, [F.col("own__") == F.col("part__"), *on])
+    return out.withColumn("rank__", F.col("at__") + F.col("before__")).select(*df.columns, "rank__", "total__")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import chat, neardup, packing, toxicity, warc
+from tarn.llm import chat, fingerprint, mixing, neardup, packing, quality, sharding, toxicity, warc
 from tarn.llm.common import table
 
 
@@ -39,7 +39,27 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_near_duplicates, op3_pack, op4_chat, op5_toxicity)}
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.edit_sensitivity(table(spark, sf_dir, "documents"))
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in a mix of all sources, by counts to the power 0.7."""
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source")).drop("source")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict for every document; the trusted texts are those labelled good."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards along a Hilbert curve."""
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_near_duplicates, op3_pack, op4_chat, op5_toxicity, op7_order_minhash, op8_mix, op9_quality, op10_hilbert)}
 
 #: DuckDB's SHA-1 is hexadecimal; base 32 takes its 160 bits in 32 groups of five.
 OP1_SQL = """
