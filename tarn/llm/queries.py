@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import chat, fingerprint, mixing, neardup, packing, quality, sharding, toxicity, warc
+from tarn.llm import chat, fingerprint, linededup, mixing, neardup, packing, quality, sharding, toxicity, warc
 from tarn.llm.common import table
 
 
@@ -39,6 +39,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the blocks that they share with earlier ones."""
+    return linededup.without_shared_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprint.edit_sensitivity(table(spark, sf_dir, "documents"))
@@ -59,7 +64,7 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_near_duplicates, op3_pack, op4_chat, op5_toxicity, op7_order_minhash, op8_mix, op9_quality, op10_hilbert)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_near_duplicates, op3_pack, op4_chat, op5_toxicity, op6_line_dedup, op7_order_minhash, op8_mix, op9_quality, op10_hilbert)}
 
 #: DuckDB's SHA-1 is hexadecimal; base 32 takes its 160 bits in 32 groups of five.
 OP1_SQL = """
