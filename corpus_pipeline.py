@@ -35,8 +35,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All texts as pieces placed in sequences of 2048 tokens."""
-    return packing.pack_documents(docs)
+    """All texts as pieces placed in sequences of 2048 tokens, filled in the order in which the mix was written."""
+    order = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    return packing.pack_documents(docs, order=order)
 
 
 STAGES = [

@@ -12,25 +12,25 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import texts, written
+from tarn.llm.common import ranked, texts, written
 from tarn.llm.tokens import default_path, encoder
 
-#: Rows that are ranked in one task at most, about.
-RANKED_TOGETHER = 2_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+ORDER = "file__ string, row__ bigint"
 
 
-def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False, order: tuple[Column, Column] | None = None) -> DataFrame:
     """A row per piece of every text: its token ids and then end_id, cut into runs of capacity.
 
     A null or empty text is one piece of one id. Repeated rows stay repeated. Null doc_ids are kept.
-    with_ids adds the ids themselves (array<int>).
+    with_ids adds the ids themselves (array<int>). order, a string and a whole number, is what pack() is to follow.
     """
     path = tokenizer or default_path()
-    schema = PIECES + (", ids array<int>" if with_ids else "")
+    schema = f"{PIECES}, {ORDER}" + (", ids array<int>" if with_ids else "")
+    file, row = order or (F.lit(""), F.lit(0))
 
     def run(batches):
         enc = encoder(path)
@@ -38,17 +38,17 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             cols: list[list] = [[] for _ in names]
-            for doc_id, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, raw, *places in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw += tail
                 for p, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
-                    row = (doc_id, p, at // 4, len(part) // 4, zlib.crc32(part))
-                    for c, v in zip(cols, (*row, np.frombuffer(part, "<u4").astype("i4")) if with_ids else row, strict=True):
+                    values = (doc_id, p, at // 4, len(part) // 4, zlib.crc32(part), *places)
+                    for c, v in zip(cols, (*values, np.frombuffer(part, "<u4").astype("i4")) if with_ids else values, strict=True):
                         c.append(v)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names)
 
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs, file.cast("string").alias("file__"), row.cast("bigint").alias("row__")).mapInArrow(run, schema)
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
@@ -163,36 +163,27 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tupl
 
 
 def places(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each length, runs in order of rank: first rank, pieces of it in a sequence, first sequence, first offset."""
+    """For each length, runs in order of rank: first rank, pieces of it in a sequence, group, its sequences, first offset."""
     runs: dict[int, list] = defaultdict(list)
     rank: dict[int, int] = defaultdict(int)
-    base = 0
-    for n, content in groups:
+    for group, (n, content) in enumerate(groups):
         at = 0
         for length, each in content:
-            runs[length].append((rank[length], each, base, at))
+            runs[length].append((rank[length], each, group, n, at))
             rank[length] += n * each
             at += length * each
-        base += n
     return {k: tuple(np.array(v, "i8").T) for k, v in runs.items()}
 
 
-def ranked(df: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """df with rank__, from 0 among the rows of a length; a length with many rows is ranked in many tasks."""
-    parts = df.sparkSession.createDataFrame([(n, -(-k // RANKED_TOGETHER)) for n, k in counts.items()] or [(0, 1)], "length bigint, parts__ bigint")
-    df = df.join(F.broadcast(parts), "length").withColumn("part__", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts__"))).drop("parts__")
-    before = df.groupBy("length", "part__").agg(F.count("*").alias("n__"))
-    before = before.select("length", "part__", (F.sum("n__").over(Window.partitionBy("length").orderBy("part__")) - F.col("n__")).alias("before__"))
-    own = F.row_number().over(Window.partitionBy("length", "part__").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    return df.withColumn("own__", own).join(before, ["length", "part__"]).withColumn("rank__", F.col("own__") + F.col("before__")).drop("own__", "before__", "part__")
-
-
 def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
-    """parts (PIECES, each of at most capacity) with sequence_id and offset; every piece once, sequences without gaps.
+    """parts (of pieces(), each of at most capacity) with sequence_id and offset; every piece once, sequences without gaps.
 
-    parts is read several times: pass a table. An empty one gives no rows. Rows that agree in doc_id, piece and
-    ids are interchangeable: which gets which place is open, everything else is deterministic.
+    Equal lengths are interchangeable to the plan: they are placed in the order given to pieces(), then by doc_id.
+    A content's sequences have ids spread evenly over all ids, so ids ascend, about, with that order. parts is
+    read several times: pass a table. An empty one gives no rows. Rows that agree in doc_id, piece and ids are
+    interchangeable: which gets which place is open, everything else is deterministic.
     """
+    parts = ranked(parts, ["length"], ["file__", "row__", "doc_id", "piece", "ids_crc32"], "ranked-pieces")
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most capacity rows
     found = parts.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
     schema = PIECES + ", sequence_id bigint, offset bigint"
@@ -204,15 +195,16 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
             seq, at = np.zeros(len(rank), "i8"), np.zeros(len(rank), "i8")
             for n in np.unique(length):
                 here = np.flatnonzero(length == n)
-                first, each, base, offset = found.value[int(n)]
+                first, each, group, size, offset = found.value[int(n)]
                 k = np.searchsorted(first, rank[here], "right") - 1
                 q, j = np.divmod(rank[here] - first[k], each[k])
-                seq[here], at[here] = base[k] + q, offset[k] + j * n
+                share = np.fromiter((((2 * x + 1) << 35) // m for x, m in zip(q.tolist(), size[k].tolist(), strict=True)), "i8", len(q))
+                seq[here], at[here] = (share << 24) + group[k], offset[k] + j * n
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names[:5]), pa.array(seq), pa.array(at)], names)
 
-    return ranked(parts, counts).select(*names[:5], "rank__").mapInArrow(run, schema)
+    return parts.select(*names[:5], "rank__").mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, order: tuple[Column, Column] | None = None) -> DataFrame:
     """All texts of docs as placed pieces."""
-    return pack(written(pieces(docs, capacity, tokenizer, end_id), "pieces"), capacity)
+    return pack(written(pieces(docs, capacity, tokenizer, end_id, order=order), "pieces"), capacity)
