@@ -69,11 +69,15 @@ def read(magic: list[tuple], namespace: str) -> Search:
     return s
 
 
+def containing(keyword: str):
+    return lambda w: w.contains(keyword)
+
+
 def score(text: Column, s: Search) -> Column:
     words = F.split(text, " ")
     total, every = F.lit(0.0), F.lit(True)
     for k in s.keywords:
-        hits = F.size(F.filter(words, lambda w, k=k: w.contains(k)))
+        hits = F.size(F.filter(words, containing(k)))
         total, every = total + hits / F.size(words), every & (hits > 0)
     mean = F.round(total / len(s.keywords), 3)
     return F.when(every, mean).otherwise(0.0) if s.all_terms else mean

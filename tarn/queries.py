@@ -45,7 +45,7 @@ Q: dict[str, tuple[str, str]] = {
     "filter_logic": ("SELECT ?k { ?p ex:p_partkey ?k ; ex:p_size ?s ; ex:p_retailprice ?r FILTER((?s < 10 || ?s > 40) && !(?r > 1500)) }", "SELECT p_partkey AS k FROM part WHERE (p_size < 10 OR p_size > 40) AND NOT (p_retailprice > 1500)"),
     "filter_in": ("SELECT ?k { ?p ex:p_partkey ?k ; ex:p_size ?s FILTER(?s IN (1, 2, 3 + 4)) }", "SELECT p_partkey AS k FROM part WHERE p_size IN (1, 2, 7)"),
     "filter_notin": ("SELECT ?c { ?x ex:c_custkey ?c ; ex:c_mktsegment ?m FILTER(?m NOT IN ('BUILDING', 'MACHINERY')) }", "SELECT c_custkey AS c FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')"),
-    "filter_regex": ("SELECT ?k ?n { ?p ex:p_partkey ?k ; ex:p_name ?n FILTER REGEX(?n, '7$') FILTER REGEX(?n, 'PART', 'i') }", "SELECT p_partkey AS k, p_name AS n FROM part WHERE regexp_matches(p_name, '7$') AND regexp_matches(p_name, '(?i)part')"),
+    "filter_regex": ("SELECT ?k ?n { ?p ex:p_partkey ?k ; ex:p_name ?n FILTER REGEX(?n, 't$') FILTER REGEX(?n, 'RED', 'i') }", "SELECT p_partkey AS k, p_name AS n FROM part WHERE regexp_matches(p_name, 't$') AND regexp_matches(p_name, '(?i)red')"),
     "filter_date": (
         f"SELECT ?k {{ ?o ex:o_orderkey ?k ; ex:o_orderdate ?d FILTER(?d >= {DAY.format('1995-01-01')} && ?d < {DAY.format('1996-07-01')}) }}",
         "SELECT o_orderkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-07-01'",
@@ -85,7 +85,7 @@ Q: dict[str, tuple[str, str]] = {
         """SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'fine' END AS g, coalesce(o_totalprice, -1) AS z
         FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 400000""",
     ),
-    "strsplit_fanout": ("SELECT ?k ?w { ?p ex:p_partkey ?k ; ex:p_type ?n BIND(fn:strsplit(?n, ' ') AS ?w) }", "SELECT p_partkey AS k, unnest(string_split(p_type, ' ')) AS w FROM part"),
+    "strsplit_fanout": ("SELECT ?k ?w { ?p ex:p_partkey ?k ; ex:p_name ?n BIND(fn:strsplit(?n, ' ') AS ?w) }", "SELECT p_partkey AS k, unnest(string_split(p_name, ' ')) AS w FROM part"),
     "optional_basic": ("SELECT ?k ?o { ?c ex:c_custkey ?k OPTIONAL { ?o ex:o_customer ?c ; ex:o_orderpriority '1-URGENT' } }", "SELECT c_custkey AS k, 'urn:data:order/' || o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'"),
     "optional_filter": (
         "SELECT ?k ?t { ?c ex:c_custkey ?k ; ex:c_acctbal ?b OPTIONAL { ?o ex:o_customer ?c ; ex:o_totalprice ?t FILTER(?t > 40 * ?b) } FILTER(?b > 5000) }",
@@ -167,9 +167,9 @@ Q: dict[str, tuple[str, str]] = {
     "ask": ("ASK { ?x ex:c_acctbal ?b FILTER(?b > 9990) }", "SELECT count(*) > 0 AS answer FROM customer WHERE c_acctbal > 9990"),
     "join_hint": ("SELECT ?k ?m { hint:Group hint:HashJoin true . ?o ex:o_orderkey ?k ; ex:o_customer ?c . ?c ex:c_mktsegment ?m FILTER(?m = 'BUILDING') }", "SELECT o_orderkey AS k, c_mktsegment AS m FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'"),
     "fts_match": (
-        "SELECT ?k ?score { ?p ex:p_partkey ?k . ?p ex:p_name ?n . ?n fts:search 'part 1' ; fts:relevance ?score ; fts:matchAllTerms 'true' . }",
-        """SELECT p_partkey AS k, round((len(list_filter(w, lambda x: contains(x, 'part'))) / len(w) + len(list_filter(w, lambda x: contains(x, '1'))) / len(w)) / 2, 3) AS score
-        FROM (SELECT p_partkey, string_split('"' || p_name || '"', ' ') AS w FROM part) WHERE list_bool_or(list_transform(w, lambda x: contains(x, 'part'))) AND list_bool_or(list_transform(w, lambda x: contains(x, '1')))""",
+        "SELECT ?k ?score { ?p ex:p_partkey ?k . ?p ex:p_name ?n . ?n fts:search 'red i' ; fts:relevance ?score ; fts:matchAllTerms 'true' . }",
+        """SELECT p_partkey AS k, round((len(list_filter(w, lambda x: contains(x, 'red'))) / len(w) + len(list_filter(w, lambda x: contains(x, 'i'))) / len(w)) / 2, 3) AS score
+        FROM (SELECT p_partkey, string_split('"' || p_name || '"', ' ') AS w FROM part) WHERE list_bool_or(list_transform(w, lambda x: contains(x, 'red'))) AND list_bool_or(list_transform(w, lambda x: contains(x, 'i')))""",
     ),
     "fts_rank": (
         "SELECT ?n ?rank { ?x ex:n_name ?n . ?n fts:search 'NATION 1' ; fts:rank ?rank ; fts:maxRank 4 . }",
