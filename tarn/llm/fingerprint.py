@@ -73,11 +73,11 @@ def fingerprint(text: Column) -> Column:
 
 def likeness(a: str, b: str) -> Column:
     """0 to 1: the root (of degree TUPLE) of the share of equal buckets among those that either text fills; 1 if both are empty."""
-    part = lambda c, i: F.substring(F.col(c), i * 8 + 1, F.lit(8))  # noqa: E731  i: a lambda's argument
-    ids = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
+    parts = lambda c: F.regexp_extract_all(F.col(c), F.lit(".{8}"), F.lit(0))
+    both = F.arrays_zip(parts(a).alias("p"), parts(b).alias("q"))
     none = "0" * 8
-    filled = F.size(F.filter(ids, lambda i: (part(a, i) != none) | (part(b, i) != none)))
-    same = F.size(F.filter(ids, lambda i: (part(a, i) == part(b, i)) & (part(a, i) != none)))
+    filled = F.size(F.filter(both, lambda x: (x["p"] != none) | (x["q"] != none)))
+    same = F.size(F.filter(both, lambda x: (x["p"] == x["q"]) & (x["p"] != none)))
     ratio = F.when((F.length(a) == 0) & (F.length(b) == 0), F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(same / filled)
     return F.pow(ratio, F.lit(1.0 / TUPLE))
 
