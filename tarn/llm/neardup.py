@@ -6,13 +6,15 @@ differs in one symbol at most; so a document is filed under each chunk with each
 all pairs under that distance meet in a bucket. Links are confirmed on the full sets.
 
 Documents of equal sets are one class, joined to its smallest id; only such representatives are filed. In a bucket,
-first every member is compared with one centre, then with another; only buckets in which members of different
-components are left compare all of those, and large ones of them are first filed again under a second chunk.
+first every member is compared with its smallest. Buckets in which members of different components are left then
+compare all of those by signature, in blocks; what is near goes on as one row for each document and block of others,
+and is confirmed where that block's full sets are. So no pair is a row of its own unless it is a link.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,12 @@ from tarn.llm.common import forget, texts, written
 
 CHUNKS, WIDTH = 14, 5
 SYMBOLS = CHUNKS * WIDTH
-#: Signatures of similar sets differ in a quarter of the symbols; so many is six standard deviations more.
-MOST_DIFFERENT = 40
-#: Larger buckets are filed again before all their members are compared.
-LARGE = 500
+#: Signatures of similar sets differ in a quarter of the symbols; so many is five standard deviations more.
+MOST_DIFFERENT = 36
+#: Members of a bucket that a task compares at once; larger buckets are cut into blocks, and pairs of blocks dealt out.
+LARGE = 5000
+#: Documents whose full sets a task holds at once.
+HELD = 5000
 #: Texts are hashed in groups of so many.
 GROUP = 500
 _MIX = np.random.default_rng(20240229)
@@ -181,60 +185,100 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "items_a", "items_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def compared(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a bucket in different components, of near signatures. rows: key, comp, id, sig.
+def compared(rows: DataFrame, blocks: int) -> DataFrame:
+    """(block, id, others): members of a bucket of another component than id's, of near signatures and like sizes.
 
-    A task streams buckets sorted by key; a bucket is compared in blocks, so no matrix is larger than a block's.
+    rows: key, n (of the bucket), comp, id, sig, size. others are of one block, by hash. A pair is found under the
+    first chunk alone that brings it together. A task streams slices of buckets; it holds one, of 2 * LARGE members at most, about.
     """
 
     def run(batches):
-        key, members = None, []
+        slice_, members = None, []
 
-        def pairs():
+        def found():
             if len(members) < 2:
                 return
-            comp, ids = (np.array([m[k] for m in members], "i8") for k in (0, 1))
+            comp, ids, size, part = (np.array([m[k] for m in members], "i8") for k in (0, 1, 3, 4))
             sig = np.frombuffer(b"".join(m[2] for m in members), "<u2").reshape(len(members), SYMBOLS)
+            own = int(np.flatnonzero(chunk_keys(sig[:1])[0].view("i8") == slice_[0])[0])
+            chunk, skip = divmod(own, WIDTH)
+            within = slice_[1] == slice_[2]
             for at in range(0, len(members), 256):
-                x = sig[at : at + 256]
+                i = slice(at, at + 256)
                 for to in range(at, len(members), 256):
-                    y = sig[to : to + 256]
-                    far = np.zeros((len(x), len(y)), np.int16)
-                    for k in range(SYMBOLS):
-                        far += x[:, k, None] != y[None, :, k]
-                    i, j = np.nonzero((far <= MOST_DIFFERENT) & (comp[at : at + 256, None] != comp[None, to : to + 256]))
-                    i, j = ids[at + i], ids[to + j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
-
+                    j = slice(to, to + 256)
+                    if comp[i].min() == comp[j].max() and comp[i].max() == comp[j].min():
+                        continue
+                    ok = (comp[i, None] != comp[None, j]) & (4 * np.minimum(size[i, None], size[None, j]) >= 3 * np.maximum(size[i, None], size[None, j]))
+                    if not within:
+                        ok &= part[i, None] != part[None, j]
+                    if at == to:
+                        ok = np.triu(ok, 1)
+                    x, y = np.nonzero(ok)
+                    for k in range(0, len(x), 65536):
+                        a, b = at + x[k : k + 65536], to + y[k : k + 65536]
+                        by_chunk = (sig[a] != sig[b]).reshape(len(a), CHUNKS, WIDTH).sum(axis=2)
+                        keep = (by_chunk.sum(axis=1) <= MOST_DIFFERENT) & ((by_chunk <= 1).argmax(axis=1) == chunk)
+                        if skip:
+                            keep &= by_chunk[:, chunk] == 1
+                        for one, other in zip(ids[a[keep]].tolist(), ids[b[keep]].tolist(), strict=True):
+                            near[one, other % blocks].append(other)
+
+        def batch():
+            cols = ([k[1] for k in near], [k[0] for k in near], list(near.values()))
+            near.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], ["block", "id", "others"])
+
+        near: dict = defaultdict(list)
         for b in batches:
-            for k, *m in zip(*(b.column(x).to_pylist() for x in range(4)), strict=True):
-                if k != key:
-                    yield from pairs()
-                    key, members = k, []
+            for key, low, high, *m in zip(*(b.column(x).to_pylist() for x in range(8)), strict=True):
+                if (key, low, high) != slice_:
+                    found()
+                    if len(near) >= 20_000:
+                        yield batch()
+                    slice_, members = (key, low, high), []
                 members.append(m)
-        yield from pairs()
+        found()
+        if near:
+            yield batch()
 
-    return rows.select("key", "comp", "id", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    n = F.ceil(F.col("n") / LARGE).cast("int")
+    part = F.pmod(F.xxhash64("id"), n).cast("int")
+    d = rows.withColumn("part", part).withColumn("to", F.explode(F.sequence(F.lit(0), n - 1)))
+    d = d.select("key", F.least("part", "to").alias("low"), F.greatest("part", "to").alias("high"), "comp", "id", "sig", "size", "part")
+    d = d.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "comp")
+    near = d.mapInArrow(run, "block bigint, id bigint, others array<bigint>")
+    return near.groupBy("block", "id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
 
 
-def refiled(rows: DataFrame) -> DataFrame:
-    """rows (key, comp, id, sig) of large buckets under the key and a key of each other chunk."""
+def confirmed_blocks(near: DataFrame, sets: DataFrame, blocks: int, percent: int) -> DataFrame:
+    """The links (a, b) among near (block, id, others). A task holds the full sets of one block, others stream by."""
 
     def run(batches):
+        key, held = None, {}
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.slice(at, 500)
-                n = len(part)
-                again = chunk_keys(np.frombuffer(b"".join(part.column(3).to_pylist()), "<u2").reshape(n, SYMBOLS))
-                first = np.asarray(part.column(0)).view(np.uint64)
-                own = np.repeat((again == first[:, None]).reshape(n, CHUNKS, WIDTH).any(axis=2), WIDTH, axis=1)
-                with np.errstate(over="ignore"):
-                    keys = _mixed(again + first[:, None] * np.uint64(3))[~own]
-                rep = np.repeat(np.arange(n), (~own).sum(axis=1))
-                take = part.take(pa.array(rep))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view("i8")), *(take.column(k) for k in (1, 2, 3))], ["key", "comp", "id", "sig"])
-
-    return rows.select("key", "comp", "id", "sig").mapInArrow(run, "key bigint, comp bigint, id bigint, sig binary")
+            links: tuple[list, list] = ([], [])
+            for block, one, items, others in zip(*(b.column(x).to_pylist() for x in (0, 1, 3, 4)), strict=True):
+                if block != key:
+                    key, held = block, defaultdict(list)
+                mine = np.frombuffer(items, np.uint64)
+                if others is None:
+                    held[one].append(mine)
+                    continue
+                ids, lists = zip(*[(y, x) for y in others for x in held[y]], strict=True)
+                size = np.fromiter(map(len, lists), "i8", len(lists))
+                every = np.concatenate(lists)
+                at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+                common = np.add.reduceat(mine[at] == every, np.cumsum(size) - size)
+                for k in np.flatnonzero(100 * common >= percent * (len(mine) + size - common)):
+                    links[0].append(one)
+                    links[1].append(ids[k])
+            yield pa.RecordBatch.from_arrays([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], ["a", "b"])
+
+    some = sets.select(F.pmod("id", F.lit(blocks)).alias("block"), "id", F.lit(0).alias("kind"), "items", F.lit(None).cast("array<bigint>").alias("others"))
+    ask = near.join(sets, "id").select("block", "id", F.lit(1).alias("kind"), "items", "others")
+    d = some.unionByName(ask).repartition("block").sortWithinPartitions("block", "kind")
+    return d.select("block", "id", "kind", "items", "others").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -247,31 +291,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     d = written(described(docs), "sets")
     some = d.where("doc_id is not null and class is not null")
-    classes = written(some.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
+    classes = written(some.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     copies = some.join(classes.select("class", "id"), "class").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
     sigs = classes.select("id", "sig")
     keys = filed(sigs)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min_by("id", F.xxhash64("id")).alias("second")).where("n > 1")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     buckets = written(keys.join(shared, "key"), "buckets")
     members = buckets.select(F.col("id").alias("doc_id")).distinct()
     sets = written(full_sets(texts(docs).join(members, "doc_id", "left_semi")), "full-sets")
-    links = copies
-    seen = None
-    for centre in ("first", "second"):
-        rows = buckets if seen is None else buckets.join(seen, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        if seen is not None:
-            several = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-            rows = rows.join(several, "key", "left_semi")
-        pairs = rows.select(F.least("id", centre).alias("a"), F.greatest("id", centre).alias("b")).where("a <> b").distinct()
-        found = confirmed(near(pairs, sigs), sets, percent)
-        links = found.unionByName(copies) if seen is None else found.unionByName(seen.select(F.col("id").alias("a"), F.col("comp").alias("b")))
-        seen = components(links)
+    pairs = buckets.select(F.col("first").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    seen = components(confirmed(near(pairs, sigs), sets, percent).unionByName(copies))
     rows = buckets.select("key", "id", "n").join(seen, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     several = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rows = written(rows.join(several, "key", "left_semi").join(sigs, "id"), "left-over")
-    small, large = rows.where(F.col("n") <= LARGE), rows.where(F.col("n") > LARGE)
-    pairs = compared(small).unionByName(compared(refiled(large))).distinct()
-    found = confirmed(pairs, sets, percent)
+    rows = rows.join(several, "key", "left_semi").join(classes.select("id", "sig", F.col("n_shingles").alias("size")), "id")
+    blocks = max(1, -(-sets.count() // HELD))
+    found = confirmed_blocks(written(compared(rows, blocks), "near"), sets, blocks, percent)
     seen = components(found.unionByName(seen.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
     out = d.select("doc_id", "n_shingles").join(seen.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("comp", "doc_id"))
