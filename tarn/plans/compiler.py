@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -216,14 +217,17 @@ class Compiler:
         rel = self.solutions(q, ctx) if q.where else None
         terms = q.describe or [("var", n) for n in (rel.vars if rel else ())]
         parts = [rel.df.select(to_term(rel.e(t[1])).col.alias("t")) for t in terms if t[0] == "var" and rel and t[1] in rel.vars]
-        parts += [self.spark.range(1).select(to_term(constant(t)).col.alias("t")) for t in terms if t[0] == "iri"]
+        any_of = ("var", "__p"), ("var", "__o")
+        known = [self.instantiated([(t, *any_of)], ctx.graph.bgp([(t, *any_of)], None)) for t in terms if t[0] == "iri"]
+        out = reduce(DataFrame.unionByName, known).distinct() if known else self.spark.createDataFrame([], TRIPLES)
         if not parts:
-            return self.spark.createDataFrame([], TRIPLES)
+            return out
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
         subjects = df.select(F.when(F.col("t")["k"] == "i", F.col("t")["v"]).when(F.col("t")["k"] == "b", F.concat(F.lit("_:"), F.col("t")["v"])).alias("s")).where("s is not null").distinct()
-        return ctx.graph.triples().join(subjects, "s", "left_semi").select(*COLUMNS).distinct()
+        found = ctx.graph.triples().join(subjects, "s", "left_semi").select(*COLUMNS)
+        return (found.unionByName(out) if known else found).distinct()
 
     # groups
     def group(self, elements: list, ctx: Context) -> Relation:
