@@ -43,8 +43,8 @@ def matched(df: DataFrame, parts: list[tuple[tuple, E, bool]]) -> Relation:
         else:
             c = constant(term)
             conditions.append(same_iri(e, c) if e.kind in ("iri", "key") and c.kind == "iri" else equal(e, c).col)
-    for c in conditions:
-        df = df.where(c)
+    if conditions:
+        df = df.where(reduce(lambda a, b: a & b, conditions))
     return Relation(df.select(*[e.col.alias(n) for n, e in cols.items()]) if cols else df.select(F.lit(1).alias("__matched")), vars_)
 
 
@@ -145,16 +145,26 @@ KINDS = {"string": "str", "double": "dbl", "float": "dbl", "boolean": "bool", "t
 
 class MappedGraph(Graph):
     def __init__(self, spark: SparkSession, maps: list[TableMap], read: Callable[[str], DataFrame]):
-        self.spark, self.maps, self.read = spark, maps, read
+        self.spark, self.maps, self.source, self.tables = spark, maps, read, {}
         self.by_predicate = {p: m for m in maps for p in (*m.columns, *m.references)}
         self.by_type = {m.type_iri: m for m in maps if m.type_iri}
 
-    def value(self, m: TableMap, df: DataFrame, predicate: str) -> E:
+    def read(self, name: str) -> DataFrame:
+        return self.table(name)[0]
+
+    def table(self, name: str) -> tuple[DataFrame, dict[str, str]]:
+        """A table and the types of its columns; the source is asked once."""
+        if name not in self.tables:
+            df = self.source(name)
+            self.tables[name] = df, dict(df.dtypes)
+        return self.tables[name]
+
+    def value(self, m: TableMap, predicate: str) -> E:
         if predicate in m.references:
             c, prefix = m.references[predicate]
             return E("key", F.col(c).cast("bigint"), prefix)
         c = m.columns[predicate]
-        t = dict(df.dtypes)[c]
+        t = self.table(m.name)[1][c]
         kind = KINDS.get(t, "dbl" if t.startswith("decimal") else "int")
         return E(kind, F.col(c).cast({"int": "bigint", "dbl": "double", "dt": "timestamp_ntz"}.get(kind, "string")) if kind != "bool" else F.col(c))
 
@@ -190,7 +200,7 @@ class MappedGraph(Graph):
 
     def star(self, m: TableMap, s: tuple, star: list[tuple], with_subject: bool) -> Relation:
         df = self.read(m.name)
-        parts = [(o, self.value(m, df, pred[1]), False) for _, pred, o in star if pred[1] != RDF_TYPE]
+        parts = [(o, self.value(m, pred[1]), False) for _, pred, o in star if pred[1] != RDF_TYPE]
         if with_subject:
             df, e = self.subject(m, df)
             parts.insert(0, (s, e, True))
@@ -205,7 +215,7 @@ class MappedGraph(Graph):
         out = []
         for p in (*m.columns, *m.references):
             if predicates is None or p in predicates:
-                t = to_term(self.value(m, df, p)).col
+                t = to_term(self.value(m, p)).col
                 out.append(F.struct(F.lit(p).alias("p"), t["k"].alias("o_k"), t["v"].alias("o_v"), t["dt"].alias("o_dt"), t["lang"].alias("o_lang")))
         if m.type_iri and (predicates is None or RDF_TYPE in predicates):
             e = F.lit("")
