@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tarn.functions.terms import IRIS, LANG_STRING, XSD, E, box, boxed, compared, ebv, equal, is_num, joint, lexical, literal_text, null, num, same_term, string, to_term, widened
+from tarn.functions.terms import IRIS, LANG_STRING, XSD, E, box, boxed, compared, ebv, equal, is_num, joint, lexical, literal_text, null, num, same_term, string, widened
 
 Function = Callable[[list[E]], E]
 
@@ -368,5 +368,3 @@ def evaluated(name: str, args: list[E], compat: bool = False) -> E:
         return boolean(F.lit(None).cast("boolean")) if name in ("=", "!=", "<", ">", "<=", ">=", "regex", "contains", "strstarts", "strends") else null()
     return FUNCTIONS[name](args)
 
-
-__all__ = ["CASTS", "EXTENSIONS", "FUNCTIONS", "Function", "UnsupportedOperation", "evaluated", "strsplit", "to_term"]
