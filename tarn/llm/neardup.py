@@ -246,7 +246,8 @@ def compared(rows: DataFrame, blocks: int) -> DataFrame:
     part = F.pmod(F.xxhash64("id"), n).cast("int")
     d = rows.withColumn("part", part).withColumn("to", F.explode(F.sequence(F.lit(0), n - 1)))
     d = d.select("key", F.least("part", "to").alias("low"), F.greatest("part", "to").alias("high"), "comp", "id", "sig", "size", "part")
-    d = d.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "comp")
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by count: work grows faster than bytes
+    d = d.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "comp")
     near = d.mapInArrow(run, "block bigint, id bigint, others array<bigint>")
     return near.groupBy("block", "id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
 

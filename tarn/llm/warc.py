@@ -197,7 +197,8 @@ def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                     raise ValueError(f"{name}, frame {e['frame']}: {len(rows)} records, {e['records']} in the index")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return frames.repartition("bundle").sortWithinPartitions("bundle", "frame").mapInArrow(run, RECORDS)
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by count: the index's bytes say nothing of the bundles'
+    return frames.repartition(parts, "bundle").sortWithinPartitions("bundle", "frame").mapInArrow(run, RECORDS)
 
 
 def bundle_and_read(pages: DataFrame, **options) -> DataFrame:
