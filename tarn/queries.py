@@ -50,7 +50,7 @@ Q: dict[str, tuple[str, str]] = {
         f"SELECT ?k {{ ?o ex:o_orderkey ?k ; ex:o_orderdate ?d FILTER(?d >= {DAY.format('1995-01-01')} && ?d < {DAY.format('1996-07-01')}) }}",
         "SELECT o_orderkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-07-01'",
     ),
-    "filter_bound": ("SELECT ?k { ?c ex:c_custkey ?k OPTIONAL { ?o ex:o_customer ?c } FILTER(!BOUND(?o)) }", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "filter_bound": ("SELECT ?k { ?c ex:c_custkey ?k OPTIONAL { ?o ex:o_customer ?c ; ex:o_orderstatus 'P' } FILTER(!BOUND(?o)) }", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"),
     "str_fns": (
         """SELECT ?k (UCASE(?n) AS ?u) (LCASE(?n) AS ?l) (SUBSTR(?n, 2, 3) AS ?s) (STRLEN(?n) AS ?len) (CONCAT(?n, '-', STR(?k)) AS ?c) (STRBEFORE(?n, '_') AS ?b) (STRAFTER(?n, '_') AS ?a)
         { ?x ex:n_nationkey ?k ; ex:n_name ?n FILTER(STRSTARTS(?n, 'N') && CONTAINS(?n, '1') && !STRENDS(?n, '0')) }""",
@@ -101,7 +101,7 @@ Q: dict[str, tuple[str, str]] = {
     "minus_basic": ("SELECT ?k { ?c ex:c_custkey ?k MINUS { ?o ex:o_customer ?c ; ex:o_orderstatus 'F' } }", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"),
     "minus_disjoint": ("SELECT ?k { ?c ex:n_nationkey ?k MINUS { ?r ex:r_name ?z } }", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation"),
     "exists": ("SELECT ?k { ?c ex:c_custkey ?k ; ex:c_acctbal ?b FILTER EXISTS { ?o ex:o_customer ?c ; ex:o_totalprice ?t FILTER(?t > 45 * ?b) } }", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 45 * c_acctbal)"),
-    "not_exists": ("SELECT ?k { ?s ex:s_suppkey ?k FILTER NOT EXISTS { ?l ex:l_supplier ?s ; ex:l_quantity 50 } }", "SELECT s_suppkey AS k FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50)"),
+    "not_exists": ("SELECT ?k { ?s ex:s_suppkey ?k FILTER NOT EXISTS { ?l ex:l_supplier ?s ; ex:l_quantity 50 ; ex:l_linenumber 7 } }", "SELECT s_suppkey AS k FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 7)"),
     "exists_compound": (
         "SELECT ?k { ?c ex:c_custkey ?k ; ex:c_acctbal ?b FILTER(?b < 0 || EXISTS { ?o ex:o_customer ?c ; ex:o_orderstatus 'P' }) }",
         "SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
