@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tarn.sources.graphs import MappedGraph, TableMap
 
@@ -34,6 +35,21 @@ def table_maps(names: list[str] | None = None) -> list[TableMap]:
     return out
 
 
+#: Schemas of Parquet tables by path, time of change and length: a later query needs no job to find them.
+_SCHEMAS: dict[tuple[str, int, int], StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath)
+    key = path, status.getModificationTime(), status.getLen()
+    if key in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[key] = df.schema
+    return df
+
+
 def data_graph(spark: SparkSession, folder: str, names: list[str] | None = None) -> MappedGraph:
     """The graph of the Parquet tables of a folder; names: of some of them only."""
-    return MappedGraph(spark, table_maps(names), lambda t: spark.read.parquet(f"{folder}/{t}.parquet"))
+    return MappedGraph(spark, table_maps(names), lambda t: read_table(spark, f"{folder}/{t}.parquet"))
