@@ -8,7 +8,7 @@ follows edit distance. All steps are DataFrame operations on arrays of whole num
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import WORD_BREAK, ranked, written
@@ -106,11 +106,12 @@ def edit_sensitivity(docs: DataFrame) -> DataFrame:
     d = d.join(ids, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("h__") == F.col("g__"))).drop("id__", "g__", "h__")
     d = d.withColumn("f__", fingerprint(F.col("text__")))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    own = F.struct(F.col("rank").alias("key"), F.col("doc_id"), F.col("n_chars"), F.col("copies__"), F.col("f__").alias("fingerprint"), F.substring("text__", F.lit(1), (F.col("n_chars") - half).cast("int")).alias("kept"), F.lit(None).cast("string").alias("next"), F.lit(None).cast("string").alias("next_fingerprint"))
-    nxt = F.struct(F.col("rank_before").alias("key"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("int").alias("n_chars"), F.lit(None).cast("bigint").alias("copies__"), F.lit(None).cast("string").alias("fingerprint"), F.lit(None).cast("string").alias("kept"), F.substring("text__", F.lit(1), F.floor(F.col("n_before") / 2).cast("int")).alias("next"), F.col("f__").alias("next_fingerprint"))
+    own = F.struct(F.col("rank").alias("key"), F.col("doc_id"), F.col("n_chars"), F.col("copies__"), F.unhex("f__").alias("fingerprint"), F.substring("text__", F.lit(1), (F.col("n_chars") - half).cast("int")).alias("kept"), F.lit(None).cast("string").alias("next"), F.lit(None).cast("binary").alias("next_fingerprint"))
+    nxt = F.struct(F.col("rank_before").alias("key"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("int").alias("n_chars"), F.lit(None).cast("bigint").alias("copies__"), F.lit(None).cast("binary").alias("fingerprint"), F.lit(None).cast("string").alias("kept"), F.substring("text__", F.lit(1), F.floor(F.col("n_before") / 2).cast("int")).alias("next"), F.unhex("f__").alias("next_fingerprint"))
     sides = d.select(F.inline(F.array(own, nxt))).repartition(parts, "key")
     d = sides.groupBy("key").agg(*[F.max(c).alias(c) for c in sides.columns if c != "key"])
     d = d.withColumn("edited", F.concat("kept", "next")).drop("kept", "next")
+    d = d.withColumn("fingerprint", F.hex("fingerprint")).withColumn("next_fingerprint", F.hex("next_fingerprint"))
     d = d.withColumn("edited_fingerprint", fingerprint(F.col("edited"))).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     d = d.withColumn("near_edited", likeness("fingerprint", "edited_fingerprint")).withColumn("near_next", likeness("fingerprint", "next_fingerprint"))
     d = d.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies__"))))
