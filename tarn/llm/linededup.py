@@ -3,13 +3,15 @@
 A line that several documents share names the first of them as partner of each other one, so pairs grow with the
 lines, however common a line is. A later document's shared lines are aligned with those of each partner by patience:
 lines that it has once are anchors, the longest sequence of them that is ascending in both is kept, and lines beside
-an aligned one that continue the match join it. Runs of aligned lines with enough words are deleted from the later
-document; short lines that many documents share by chance stay.
+an aligned one that continue the match join it. Then all occurrences of the lines in both documents are taken, and
+each run whose lines follow one another in its partners in the same order is aligned too, wherever it stands there and
+however often it is repeated. Runs of aligned lines with enough words are deleted from the later document; short lines
+that many documents share by chance stay.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from tarn.llm.common import WORD_BREAK, written
 
 KEY = "doc_id bigint, same bigint"
+LINE = {"doc_id": pa.int64(), "same": pa.int64(), "h": pa.int64(), "g": pa.int32(), "words": pa.int32(), "places": pa.list_(pa.int32())}
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -28,10 +31,28 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, same, place, the line's two hashes and its words, for every line with a word of a document with a doc_id."""
-    d = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).where("doc_id is not null").select("doc_id", F.col("same__").alias("same"), F.posexplode(F.split("text__", "\n")).alias("place", "line"))
-    d = d.withColumn("line", F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).where("line <> ''")
-    return d.select("doc_id", "same", "place", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.size(F.split("line", WORD_BREAK)).alias("words"))
+    """doc_id, same, the line's two hashes, its words and its places, for every different line with a word of a document with a doc_id."""
+    d = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).where("doc_id is not null")
+    bare = F.transform(F.split("text__", "\n"), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    every = F.transform(bare, lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.when(x == "", 0).otherwise(F.size(F.split(x, WORD_BREAK))).alias("words")))
+
+    def run(batches):
+        for b in batches:
+            ids, same, every = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+            ends = every.offsets.to_pylist()
+            every = every.values
+            h, g, words = (every.field(k).to_pylist() for k in range(3))
+            out = []
+            for k, doc_id in enumerate(ids):
+                own: dict = {}
+                for x in range(ends[k], ends[k + 1]):
+                    if words[x]:
+                        own.setdefault((h[x], g[x], words[x]), []).append(x - ends[k])
+                out += [(doc_id, same[k], *line, places) for line, places in own.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), LINE.values(), strict=True)], list(LINE))
+
+    return d.select("doc_id", F.col("same__").alias("same"), every.alias("every")).mapInArrow(run, f"{KEY}, h bigint, g int, words int, places array<int>")
 
 
 def ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -71,31 +92,54 @@ def aligned(pairs: list[tuple[int, int]]) -> set[int]:
     return set(matches)
 
 
+def in_order(at: dict, least_words: int) -> set[int]:
+    """Places of runs of least_words and more whose lines stand in each partner in the same order.
+
+    at has words, partner and all (ascending) places there of each shared line by its place here. Lines of a run
+    follow one another here. Each place looks for words on both sides, and back from the end of any run that holds it,
+    a walk that has enough covers it; a walk ends with enough words, so work grows with the lines.
+    """
+    found: set[int] = set()
+    for x in at:
+        for step in (1, -1):
+            y, words, last = x, 0, {}
+            while words < least_words and y in at:
+                n, partner, there = at[y]
+                k = bisect_right(there, last.get(partner, -1)) if step == 1 else bisect_left(there, last.get(partner, there[-1] + 1)) - 1
+                if not 0 <= k < len(there):
+                    break
+                last[partner] = there[k]
+                words += n
+                y += step
+            if words >= least_words:
+                found.update(range(x, y, step))
+    return found
+
+
 def deletions(all_lines: DataFrame, least_words: int) -> DataFrame:
     """doc_id, same and places: the lines to delete from each later document."""
-    first = F.min(F.struct("doc_id", "same", "place")).alias("first")
+    first = F.min(F.struct("doc_id", "same", "places")).alias("first")
     last = F.max(F.struct("doc_id", "same")).alias("last")
-    shared = all_lines.groupBy("h", "g").agg(first, last).where("first.doc_id <> last.doc_id or first.same <> last.same").select("h", "g", F.col("first.doc_id").alias("a"), F.col("first.same").alias("a_same"), F.col("first.place").alias("a_place"))
-    rows = all_lines.join(shared, ["h", "g"]).where("a <> doc_id or a_same <> same").select("doc_id", "same", "place", "words", "a", "a_same", "a_place")
+    shared = all_lines.groupBy("h", "g").agg(first, last).where("first.doc_id <> last.doc_id or first.same <> last.same").select("h", "g", F.col("first.doc_id").alias("a"), F.col("first.same").alias("a_same"), F.col("first.places").alias("a_places"))
+    rows = all_lines.join(shared, ["h", "g"]).where("a <> doc_id or a_same <> same").select("doc_id", "same", "words", "places", "a", "a_same", "a_places")
 
     def run(batches):
         key, mine, out = None, [], []
 
         def close():
             by: dict = defaultdict(list)
-            words = {}
-            for place, n, a, a_same, a_place in mine:
-                by[a, a_same].append((place, a_place))
-                words[place] = n
+            at = {x: (n, (a, a_same), there) for n, places, a, a_same, there in mine for x in places}
+            for x, (_, partner, there) in at.items():
+                by[partner].append((x, there[0]))
             hit = sorted(set().union(*(aligned(p) for p in by.values())))
-            gone, start = [], 0
+            gone, start = in_order(at, least_words), 0
             for k in range(1, len(hit) + 1):
                 if k == len(hit) or hit[k] != hit[k - 1] + 1:
-                    if sum(words[x] for x in hit[start:k]) >= least_words:
-                        gone += hit[start:k]
+                    if sum(at[x][0] for x in hit[start:k]) >= least_words:
+                        gone.update(hit[start:k])
                     start = k
             if gone:
-                out.append((*key, gone))
+                out.append((*key, sorted(gone)))
 
         def batch():
             cols = list(zip(*out, strict=True))

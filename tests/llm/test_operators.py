@@ -186,6 +186,25 @@ def test_line_dedup(spark, docs, empty):
     assert linededup.without_shared_lines(docs).count() == len(DOCS)
 
 
+def left(spark, *texts):
+    """What line deduplication leaves of texts, the earliest first."""
+    rows = linededup.without_shared_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def passage(name, lines=5, words=11):
+    return "\n".join(" ".join(f"{name}{k}x{w}" for w in range(words)) for k in range(lines))
+
+
+def test_line_dedup_deletes_each_occurrence(spark):
+    p = passage("p")
+    a = "\n".join([p, passage("own"), p])
+    assert left(spark, a, a) == [a, ""]
+    assert left(spark, f"{p}\n{p}", f"{p}\n{p}", f"my own\n{p}\nin between\n{p}") == [f"{p}\n{p}", "", "my own\nin between"]
+    gapped = p.replace("\n", "\nonly here\n")  # the partner has lines in between
+    assert left(spark, f"{gapped}\n{gapped}", f"{p}\nnew\n{p}")[1] == "new"
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mixed(docs, block_rows=2).collect()
     assert sorted(r.position for r in got) == list(range(len(DOCS)))
