@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import WORD_BREAK, written
+from tarn.llm.fingerprint import let
 
 KEY = "doc_id bigint, same bigint"
 LINE = {"doc_id": pa.int64(), "same": pa.int64(), "h": pa.int64(), "g": pa.int32(), "words": pa.int32(), "places": pa.list_(pa.int32())}
@@ -31,7 +32,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, same, the line's two hashes, its words and its places, for every different line with a word of a document with a doc_id."""
+    """doc_id, same, the line's two hashes, its words and its places, for every different line with a word of a document with a doc_id.
+
+    Places are numbered over the lines with words, so blank lines between two lines don't part them.
+    """
     d = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).where("doc_id is not null")
     bare = F.transform(F.split("text__", "\n"), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
     every = F.transform(bare, lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.when(x == "", 0).otherwise(F.size(F.split(x, WORD_BREAK))).alias("words")))
@@ -45,9 +49,8 @@ def lines(docs: DataFrame) -> DataFrame:
             out = []
             for k, doc_id in enumerate(ids):
                 own: dict = {}
-                for x in range(ends[k], ends[k + 1]):
-                    if words[x]:
-                        own.setdefault((h[x], g[x], words[x]), []).append(x - ends[k])
+                for place, x in enumerate(x for x in range(ends[k], ends[k + 1]) if words[x]):
+                    own.setdefault((h[x], g[x], words[x]), []).append(place)
                 out += [(doc_id, same[k], *line, places) for line, places in own.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), LINE.values(), strict=True)], list(LINE))
@@ -117,7 +120,7 @@ def in_order(at: dict, least_words: int) -> set[int]:
 
 
 def deletions(all_lines: DataFrame, least_words: int) -> DataFrame:
-    """doc_id, same and places: the lines to delete from each later document."""
+    """doc_id, same and places: the lines with words to delete from each later document."""
     first = F.min(F.struct("doc_id", "same", "places")).alias("first")
     last = F.max(F.struct("doc_id", "same")).alias("last")
     shared = all_lines.groupBy("h", "g").agg(first, last).where("first.doc_id <> last.doc_id or first.same <> last.same").select("h", "g", F.col("first.doc_id").alias("a"), F.col("first.same").alias("a_same"), F.col("first.places").alias("a_places"))
@@ -168,7 +171,7 @@ def without_shared_lines(docs: DataFrame, least_words: int = 20) -> DataFrame:
 
     Of aligned lines, runs of at least least_words words are deleted from the later document: the larger doc_id,
     or, of one doc_id with several texts, the larger hash of the text. Lines are compared without white space around
-    them; blank lines are never deleted. Rows that agree in doc_id and text are one document, so they lose the same
+    them; blank lines neither end a run nor count for it, and go with a run that they are inside of. Rows that agree in doc_id and text are one document, so they lose the same
     lines and not each other's. Rows with a null doc_id stay as they are; a null text becomes empty. All other columns
     stay; n_lines and n_removed are replaced. A document all of whose lines go has an empty text.
     """
@@ -177,8 +180,11 @@ def without_shared_lines(docs: DataFrame, least_words: int = 20) -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     d = keyed(docs.select(*own)).join(gone, (F.col("doc_id") == F.col("doc_id__")) & (F.col("same__") == F.col("same___")), "left")
     d = d.withColumn("l__", F.split("text__", "\n"))
-    d = d.withColumn("n_lines", F.when(F.col("text__") == "", 0).otherwise(F.size("l__")).cast("bigint")).withColumn("n_removed", F.coalesce(F.size("places"), F.lit(0)).cast("bigint"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("l__") - 1), F.col("places"))
-    d = d.withColumn("stay__", F.when(F.col("places").isNotNull(), stay))
+    with_words = F.filter(F.sequence(F.lit(0), F.size("l__") - 1), lambda i: F.get("l__", i).rlike(r"[^\x20\x09-\x0D]"))
+    inside = lambda at, x, k: F.when(F.get("places", k + 1) == x + 1, F.sequence(F.get(at, x), F.get(at, x + 1) - 1)).otherwise(F.array(F.get(at, x)))
+    gone = let(with_words, lambda at: F.flatten(F.transform("places", lambda x, k: inside(at, x, k))))
+    d = d.withColumn("gone__", F.when(F.col("places").isNotNull(), gone))
+    d = d.withColumn("n_lines", F.when(F.col("text__") == "", 0).otherwise(F.size("l__")).cast("bigint")).withColumn("n_removed", F.coalesce(F.size("gone__"), F.lit(0)).cast("bigint"))
+    d = d.withColumn("stay__", F.when(F.col("places").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("l__") - 1), F.col("gone__"))))
     text = F.when(F.col("places").isNull(), F.col("text__")).otherwise(F.array_join(F.transform("stay__", lambda i: F.get("l__", i)), "\n"))
     return d.withColumn("text", text).select(*own, "n_lines", "n_removed")

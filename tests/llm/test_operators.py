@@ -205,6 +205,15 @@ def test_line_dedup_deletes_each_occurrence(spark):
     assert left(spark, f"{gapped}\n{gapped}", f"{p}\nnew\n{p}")[1] == "new"
 
 
+def test_line_dedup_runs_go_on_behind_blank_lines(spark):
+    p = passage("p", lines=6, words=9)
+    verse = p.replace("\n", "\n\n \n")
+    got = left(spark, f"{verse}\n", f"own\n\n{verse}\n\nend", f"{verse}\n", p, "a\n\nb\n")
+    assert got == [f"{verse}\n", "own\n\n\nend", "", "", "a\n\nb\n"]
+    docs = spark.createDataFrame([(1, f"{verse}\n"), (2, f"own\n\n{verse}\n\nend")], "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in linededup.without_shared_lines(docs).collect()} == {1: (17, 0), 2: (20, 16)}
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mixed(docs, block_rows=2).collect()
     assert sorted(r.position for r in got) == list(range(len(DOCS)))
