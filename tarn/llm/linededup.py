@@ -7,14 +7,20 @@ an aligned one that continue the match join it. Then all occurrences of the line
 each run whose lines follow one another in its partners in the same order is aligned too, wherever it stands there and
 however often it is repeated. Runs of aligned lines with enough words are deleted from the later document; short lines
 that many documents share by chance stay.
+
+A line's first holder may have it in another place than a later partner, so blocks are shared as such too: each line
+begins and ends a shortest block with enough words, whose hash follows from its lines alone. A block that an
+earlier document has is deleted, whoever holds its lines first. So there are three rows a line at most.
 """
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +28,7 @@ from tarn.llm.common import WORD_BREAK, written
 from tarn.llm.fingerprint import let
 
 KEY = "doc_id bigint, same bigint"
-LINE = {"doc_id": pa.int64(), "same": pa.int64(), "h": pa.int64(), "g": pa.int32(), "words": pa.int32(), "places": pa.list_(pa.int32())}
+LINE = {"doc_id": pa.int64(), "same": pa.int64(), "h": pa.int64(), "g": pa.int32(), "words": pa.int32(), "span": pa.int32(), "places": pa.list_(pa.int32())}
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -31,10 +37,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text__", text).withColumn("same__", F.xxhash64(text))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, same, the line's two hashes, its words and its places, for every different line with a word of a document with a doc_id.
+def blocks(words: list[int], least_words: int) -> set[tuple[int, int]]:
+    """(start, end) of the shortest blocks of several lines with least_words that begin or end at each line, if any."""
+    found, start, total = set(), 0, 0
+    for end, n in enumerate(words, 1):
+        total += n
+        while total >= least_words:  # the first end at which a block from start has enough
+            found.add((start, end))
+            total -= words[start]
+            start += 1
+        if start and total + words[start - 1] >= least_words:  # the last start for a block to end here
+            found.add((start - 1, end))
+    return {(x, y) for x, y in found if y - x > 1}
+
+
+def lines(docs: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, same, two hashes, words, span and places of every different line with a word, and block, of a document with a doc_id.
 
-    Places are numbered over the lines with words, so blank lines between two lines don't part them.
+    A line's span is 1, a block's its number of lines. Places are numbered over the lines with words, so blank lines
+    between two lines don't part them.
     """
     d = keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).where("doc_id is not null")
     bare = F.transform(F.split("text__", "\n"), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
@@ -49,13 +70,19 @@ def lines(docs: DataFrame) -> DataFrame:
             out = []
             for k, doc_id in enumerate(ids):
                 own: dict = {}
-                for place, x in enumerate(x for x in range(ends[k], ends[k + 1]) if words[x]):
-                    own.setdefault((h[x], g[x], words[x]), []).append(place)
+                mine = [(h[x], g[x], words[x], 1) for x in range(ends[k], ends[k + 1]) if words[x]]
+                for place, line in enumerate(mine):
+                    own.setdefault(line, []).append(place)
+                raw = b"".join(struct.pack("<qi", *line[:2]) for line in mine)
+                for start, end in sorted(blocks([line[2] for line in mine], least_words)):
+                    part = raw[12 * start : 12 * end]
+                    hashes = struct.unpack("<qi", struct.pack("<QI", xxhash.xxh64_intdigest(part), xxhash.xxh32_intdigest(part)))
+                    own.setdefault((*hashes, sum(line[2] for line in mine[start:end]), end - start), []).append(start)
                 out += [(doc_id, same[k], *line, places) for line, places in own.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), LINE.values(), strict=True)], list(LINE))
 
-    return d.select("doc_id", F.col("same__").alias("same"), every.alias("every")).mapInArrow(run, f"{KEY}, h bigint, g int, words int, places array<int>")
+    return d.select("doc_id", F.col("same__").alias("same"), every.alias("every")).mapInArrow(run, f"{KEY}, h bigint, g int, words int, span int, places array<int>")
 
 
 def ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -124,14 +151,14 @@ def deletions(all_lines: DataFrame, least_words: int) -> DataFrame:
     first = F.min(F.struct("doc_id", "same", "places")).alias("first")
     last = F.max(F.struct("doc_id", "same")).alias("last")
     shared = all_lines.groupBy("h", "g").agg(first, last).where("first.doc_id <> last.doc_id or first.same <> last.same").select("h", "g", F.col("first.doc_id").alias("a"), F.col("first.same").alias("a_same"), F.col("first.places").alias("a_places"))
-    rows = all_lines.join(shared, ["h", "g"]).where("a <> doc_id or a_same <> same").select("doc_id", "same", "words", "places", "a", "a_same", "a_places")
+    rows = all_lines.join(shared, ["h", "g"]).where("a <> doc_id or a_same <> same").select("doc_id", "same", "words", "span", "places", "a", "a_same", "a_places")
 
     def run(batches):
         key, mine, out = None, [], []
 
         def close():
             by: dict = defaultdict(list)
-            at = {x: (n, (a, a_same), there) for n, places, a, a_same, there in mine for x in places}
+            at = {x: (n, (a, a_same), there) for n, span, places, a, a_same, there in mine if span == 1 for x in places}
             for x, (_, partner, there) in at.items():
                 by[partner].append((x, there[0]))
             hit = sorted(set().union(*(aligned(p) for p in by.values())))
@@ -141,6 +168,7 @@ def deletions(all_lines: DataFrame, least_words: int) -> DataFrame:
                     if sum(at[x][0] for x in hit[start:k]) >= least_words:
                         gone.update(hit[start:k])
                     start = k
+            gone.update(y for _, span, places, *_ in mine if span > 1 for x in places for y in range(x, x + span))
             if gone:
                 out.append((*key, sorted(gone)))
 
@@ -150,7 +178,7 @@ def deletions(all_lines: DataFrame, least_words: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], ["doc_id", "same", "places"])
 
         for b in batches:
-            for doc_id, same, *rest in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+            for doc_id, same, *rest in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
                 if (doc_id, same) != key:
                     if key:
                         close()
@@ -175,7 +203,7 @@ def without_shared_lines(docs: DataFrame, least_words: int = 20) -> DataFrame:
     lines and not each other's. Rows with a null doc_id stay as they are; a null text becomes empty. All other columns
     stay; n_lines and n_removed are replaced. A document all of whose lines go has an empty text.
     """
-    found = written(lines(docs), "lines")
+    found = written(lines(docs, least_words), "lines")
     gone = deletions(found, least_words).withColumnRenamed("doc_id", "doc_id__").withColumnRenamed("same", "same___")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     d = keyed(docs.select(*own)).join(gone, (F.col("doc_id") == F.col("doc_id__")) & (F.col("same__") == F.col("same___")), "left")

@@ -214,6 +214,27 @@ def test_line_dedup_runs_go_on_behind_blank_lines(spark):
     assert {r.doc_id: (r.n_lines, r.n_removed) for r in linededup.without_shared_lines(docs).collect()} == {1: (17, 0), 2: (20, 16)}
 
 
+def test_line_dedup_deletes_blocks_in_another_order(spark):
+    p, q = passage("p"), passage("q")
+    assert left(spark, f"{q}\n{p}", f"{p}\n{q}", f"own\n{p}\n{q}\nend") == [f"{q}\n{p}", "", "own\nend"]
+    one, two = passage("p", 2, 6), passage("q", 2, 6)  # only together, as the second document has them, they are long enough
+    assert left(spark, f"{two}\nbetween\n{one}", f"mine\n{one}\n{two}", f"own\n{one}\n{two}\nend") == [f"{two}\nbetween\n{one}", f"mine\n{one}\n{two}", "own\nend"]
+
+
+def test_line_dedup_deletes_what_brute_force_finds(spark):
+    rng = np.random.default_rng(11)
+    pool = [" ".join(f"l{k}w{w}" for w in range(rng.integers(1, 9))) for k in range(14)]
+    texts = [[pool[k] for k in rng.integers(0, 14, rng.integers(1, 25))] for _ in range(40)]
+    got = left(spark, *["\n".join(x) for x in texts])
+    for i, t in enumerate(texts):
+        held = {tuple(x[s:e]) for x in texts[:i] for s in range(len(x)) for e in range(s + 1, len(x) + 1)}
+        gone = {x for s in range(len(t)) for e in range(s + 1, len(t) + 1) if tuple(t[s:e]) in held and sum(len(y.split()) for y in t[s:e]) >= 20 for x in range(s, e)}
+        stay = iter(t)
+        assert all(line in stay for line in got[i].split("\n") if line)  # lines go, the rest stays in order
+        kept, whole = Counter(got[i].split("\n")), Counter(t)
+        assert all(whole[x] - kept[x] >= n for x, n in Counter(t[x] for x in gone).items())
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mixed(docs, block_rows=2).collect()
     assert sorted(r.position for r in got) == list(range(len(DOCS)))

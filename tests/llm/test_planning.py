@@ -87,6 +87,18 @@ def test_alignment_goes_on_beside_matches():
     assert linededup.aligned([(3, 3)]) == {3}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 25), max_size=14))
+def test_blocks_are_the_shortest_at_each_line(words):
+    want = set()
+    for x in range(len(words)):
+        ends = [e for e in range(x + 1, len(words) + 1) if sum(words[x:e]) >= 20]
+        starts = [s for s in range(x + 1) if sum(words[s : x + 1]) >= 20]
+        want |= {(x, min(ends))} if ends else set()
+        want |= {(max(starts), x + 1)} if starts else set()
+    assert linededup.blocks(words, 20) == {(s, e) for s, e in want if e - s > 1}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
