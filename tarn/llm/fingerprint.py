@@ -1,7 +1,8 @@
 """Order MinHash fingerprints of texts.
 
-A text's tokens (words, or characters of short texts) make k-mers; the k-mers' occurrences are numbered, so equal ones
-differ. Hashes of numbered k-mers fall into BUCKETS by their first bits; of each bucket the TUPLE smallest are
+Texts of all lengths have both kinds of tokens, words and characters, each with a signature of its own; so what two
+texts have in common never depends on their lengths. Tokens make k-mers; the k-mers' occurrences are numbered, so equal
+ones differ. Hashes of numbered k-mers fall into BUCKETS by their first bits; of each bucket the TUPLE smallest are
 selected, put back in text order, and hashed together. Such a signature changes with order as well as content, and so
 follows edit distance. All steps are DataFrame operations on arrays of whole numbers, kept in one row.
 """
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 from tarn.llm.common import WORD_BREAK, ranked, written
 
 BUCKETS, TUPLE = 64, 2
-#: Texts of fewer code points are taken by characters.
-SHORT = 256
 #: Bits of a position in a packed number; positions beyond share the last.
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
@@ -31,19 +30,18 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fingerprint(text: Column) -> Column:
+def fingerprint(text: Column, by_character: bool = False) -> Column:
     """BUCKETS groups of eight hexadecimal digits, 00000000 for an empty bucket; '' for an empty text."""
-    short = F.length(text) < SHORT
-    tokens = F.array_remove(F.when(short, F.split(text, "")).otherwise(F.split(text, WORD_BREAK)), "")
+    tokens = F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{1,3})).")) if by_character else F.array_remove(F.split(text, WORD_BREAK), "")
     top = 64 - (BUCKETS - 1).bit_length()
     high = lambda x: F.shiftright(x, PLACE_BITS)
     place = lambda x: x.bitwiseAND(F.lit(PLACE))
     bucket = lambda x: F.shiftright(x, top)
     unlike = lambda x, y: F.coalesce(x != y, F.lit(True))
 
-    def kmers(t, by_character):  # of two words, or three characters; the last are shorter
-        third = lambda i: F.when(by_character, F.get(t, i + 2))
-        return F.sort_array(F.transform(t, lambda x, i: _packed(F.xxhash64(x, F.get(t, i + 1), third(i)), F.least(i, F.lit(PLACE)))))
+    def kmers(t):  # of two words; t already has runs of three characters; the last are shorter
+        hashed = lambda x, i: F.xxhash64(x) if by_character else F.xxhash64(x, F.get(t, i + 1))
+        return F.sort_array(F.transform(t, lambda x, i: _packed(hashed(x, i), F.least(i, F.lit(PLACE)))))
 
     def numbers(k):  # of each k-mer among its equals, which are neighbours in k
         starts = F.filter(F.transform(k, lambda x, i: F.when(unlike(high(x), high(F.get(k, i - 1))), i)), lambda x: x.isNotNull())
@@ -67,10 +65,15 @@ def fingerprint(text: Column) -> Column:
         gap = lambda x, j: F.repeat(F.lit("0" * 8), x["b"] - F.coalesce(F.get(e, j - 1)["b"], F.lit(-BUCKETS // 2 - 1)) - 1)
         return F.rpad(F.array_join(F.transform(e, lambda x, j: F.concat(gap(x, j), x["h"])), ""), 8 * BUCKETS, "0")
 
-    full = let(tokens, lambda t: let(short, lambda c: let(kmers(t, c), lambda k: let(numbered(k), lambda v: let(chosen(v), lambda v: let(signed(v), joined))))))
+    full = let(tokens, lambda t: let(kmers(t), lambda k: let(numbered(k), lambda v: let(chosen(v), lambda v: let(signed(v), joined)))))
     return F.when(F.length(text) == 0, F.lit("")).otherwise(full)
 
 
+def both(text: Column) -> Column:
+    """The fingerprints of a text by words and by characters, one behind the other; '' for an empty text."""
+    return F.concat(fingerprint(text), fingerprint(text, by_character=True))
+
+
 def likeness(a: str, b: str) -> Column:
     """0 to 1: the root (of degree TUPLE) of the share of equal buckets among those that either text fills; 1 if both are empty."""
     parts = lambda c: F.regexp_extract_all(F.col(c), F.lit(".{8}"), F.lit(0))
@@ -84,7 +87,7 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every row of docs (doc_id, text); a null text counts as empty."""
-    return docs.select("doc_id", fingerprint(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("fingerprint"))
+    return docs.select("doc_id", both(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("fingerprint"))
 
 
 def edit_sensitivity(docs: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def edit_sensitivity(docs: DataFrame) -> DataFrame:
     before = ids.select(((F.col("rank") + 1) % F.col("total")).alias("rank"), F.col("n_chars").alias("n_before"), F.col("rank").alias("rank_before"))
     ids = written(ids.join(before, "rank"), "neighbours").select(F.col("doc_id").alias("id__"), F.col("h__").alias("g__"), "copies__", "n_chars", "n_before", "rank", "rank_before")
     d = d.join(ids, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.col("h__") == F.col("g__"))).drop("id__", "g__", "h__")
-    d = d.withColumn("f__", fingerprint(F.col("text__")))
+    d = d.withColumn("f__", both(F.col("text__")))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     own = F.struct(F.col("rank").alias("key"), F.col("doc_id"), F.col("n_chars"), F.col("copies__"), F.unhex("f__").alias("fingerprint"), F.substring("text__", F.lit(1), (F.col("n_chars") - half).cast("int")).alias("kept"), F.lit(None).cast("string").alias("next"), F.lit(None).cast("binary").alias("next_fingerprint"))
     nxt = F.struct(F.col("rank_before").alias("key"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("int").alias("n_chars"), F.lit(None).cast("bigint").alias("copies__"), F.lit(None).cast("binary").alias("fingerprint"), F.lit(None).cast("string").alias("kept"), F.substring("text__", F.lit(1), F.floor(F.col("n_before") / 2).cast("int")).alias("next"), F.unhex("f__").alias("next_fingerprint"))
@@ -112,7 +115,7 @@ def edit_sensitivity(docs: DataFrame) -> DataFrame:
     d = sides.groupBy("key").agg(*[F.max(c).alias(c) for c in sides.columns if c != "key"])
     d = d.withColumn("edited", F.concat("kept", "next")).drop("kept", "next")
     d = d.withColumn("fingerprint", F.hex("fingerprint")).withColumn("next_fingerprint", F.hex("next_fingerprint"))
-    d = d.withColumn("edited_fingerprint", fingerprint(F.col("edited"))).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    d = d.withColumn("edited_fingerprint", both(F.col("edited"))).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     d = d.withColumn("near_edited", likeness("fingerprint", "edited_fingerprint")).withColumn("near_next", likeness("fingerprint", "next_fingerprint"))
     d = d.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies__"))))
     return d.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.test_planning import words_of
 
 from tarn.llm import chat, common, fingerprint, linededup, mixing, neardup, packing, quality, sharding, tokens, toxicity, warc
@@ -383,3 +384,16 @@ def test_fingerprint_is_brute_forces(spark):
     d = spark.createDataFrame([(t,) for t in texts], "text string")
     got = [r[0] for r in d.select(fingerprint.fingerprint(d.text)).collect()]
     assert got == [brute_fingerprint(t) for t in texts]
+
+
+def test_likeness_does_not_depend_on_lengths(spark):
+    rng = np.random.default_rng(9)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 5000, 100))
+    unbroken = "".join(map(chr, rng.integers(0x4E00, 0x9000, 400))) + "\U0001f600"
+    cut = unbroken[:200] + "x" + unbroken[201:]
+    rows = [(long[:257], long[:255]), (long[:400], long[:200]), (unbroken, cut), (unbroken[:257], unbroken[:255]), ("two words", "two  words"), (long[:300], unbroken), ("", "")]
+    d = spark.createDataFrame(rows, "a string, b string").select(*[fingerprint.both(F.col(c)).alias(c) for c in "ab"])
+    near = [r[0] for r in d.select(fingerprint.likeness("a", "b")).collect()]
+    assert min(near[0], near[2], near[3]) > 0.8 and min(near[1], near[4]) > 0.4 and near[5] < 0.3 and near[6] == 1.0
+    docs = spark.createDataFrame([(1, long[:300]), (2, long[300:360]), (3, "end")], "doc_id bigint, text string")
+    assert {r.doc_id: r.near_edited for r in fingerprint.edit_sensitivity(docs).collect()}[1] > 0.3
