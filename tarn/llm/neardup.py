@@ -29,6 +29,8 @@ CHUNKS, WIDTH = 14, 5
 SYMBOLS = CHUNKS * WIDTH
 #: Signatures of similar sets differ in a quarter of the symbols; so many is five standard deviations more.
 MOST_DIFFERENT = 36
+#: The least likeness that the chunks, MOST_DIFFERENT and compared()'s size filter are made for.
+LEAST_PERCENT = 75
 #: Members of a bucket that a task compares at once; larger buckets are cut into blocks, and pairs of blocks dealt out.
 LARGE = 5000
 #: Documents whose full sets a task holds at once.
@@ -289,7 +291,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     has its whole sequence as its one shingle. A null or empty text, or one of white space, is linked with nothing
     and is its own component. Rows with the same doc_id are one document with the links of each. A null doc_id has
     no links: component_id null, kept true. An empty table gives no rows; other columns are ignored.
+
+    The signatures' chunks, MOST_DIFFERENT and the sizes compared are made for percent of LEAST_PERCENT and more; less is an error.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent is {percent}; links under {LEAST_PERCENT} percent would be lost")
     d = written(described(docs), "sets")
     some = d.where("doc_id is not null and class is not null")
     classes = written(some.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")

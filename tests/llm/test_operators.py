@@ -63,6 +63,12 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).collect() == []
 
 
+def test_near_duplicates_refuses_percents_that_lose_links(docs):
+    for operator in (neardup.near_duplicates, neardup.without_near_duplicates):
+        with pytest.raises(ValueError, match="74"):
+            operator(docs, percent=74)
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LARGE", 4)
     monkeypatch.setattr(neardup, "HELD", 3)
