@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -200,7 +200,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, folds: int = 5
     """The model of at most rows labelled documents (the documented bound) whose crc32(doc_id) mod folds isn't 0.
 
     A term is a word, or a stem of four to eight letters with more words, that at least support toxic rows hold and
-    e**3 times as many of them, in proportion, as of the others. With no labelled row of either kind the model has
+    e**3 times as many of them, in proportion, as of the others. All such terms of the sample are
+    weighed; the most_terms of largest weight stay, the only other bound. With no labelled row of either kind the model has
     no terms and gives each text the same low score.
     """
     sample = written(labelled(docs, labels, rows, folds), "toxicity-sample")
@@ -210,37 +211,43 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, folds: int = 5
         forget(sample)
         return Model([])
 
-    def counted(known: frozenset | None):
-        def run(batches):
-            n: Counter = Counter()
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    words = {c for w in set(t.lower().split()) if (c := cleaned(w)) and len(c) >= 3}
-                    words |= stems_of(words, 4, 8)
-                    n.update(words if known is None else words & known)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
-
-        return run
-
-    total = lambda df, known: df.select("text").mapInArrow(counted(known), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    ins = {r.term: r.n for r in total(sample.where("y = 1"), None).where(F.col("n") >= support).orderBy(F.desc("n"), "term").limit(50_000).collect()}
-    outs = {r.term: r.n for r in total(sample.where("y = 0"), frozenset(ins)).collect()}
-    odds = {t: math.log((n + 0.5) / (toxic + 1)) - math.log((outs.get(t, 0) + 0.5) / (other + 1)) for t, n in ins.items()}
-    strong = {t for t in ins if odds[t] >= 3}
+    def counted(batches):
+        n: tuple[Counter, Counter] = (Counter(), Counter())
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = {c for w in set(t.lower().split()) if (c := cleaned(w)) and len(c) >= 3}
+                n[y == 1].update(words | stems_of(words, 4, 8))
+        terms = list(n[0].keys() | n[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in n)], ["term", "outs", "ins"])
+
+    counts = sample.where("y in (0, 1)").select("text", "y").mapInArrow(counted, "term string, outs bigint, ins bigint").groupBy("term").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"))
+    odd = F.log((F.col("ins") + 0.5) / (toxic + 1)) - F.log((F.col("outs") + 0.5) / (other + 1))
+    found = counts.where((F.col("ins") >= support) & (odd >= 3 - 1e-9)).collect()  # of the sample's terms
+    ins = {r.term: r.ins for r in found}
+    odds = {r.term: math.log((r.ins + 0.5) / (toxic + 1)) - math.log((r.outs + 0.5) / (other + 1)) for r in found}
+    strong = sorted(t for t in ins if odds[t] >= 3)
+    longer, words = defaultdict(list), defaultdict(list)  # strong stems of one letter more, and strong words, of a stem
+    for t in strong:
+        if t[-1] == "*":
+            longer[t[:-2]].append(t)
+        else:
+            for n in range(4, min(8, len(t)) + 1):
+                words[t[:n]].append(t)
     chosen: dict[str, Term] = {}
-    covered: list[str] = []
+    covered: set[str] = set()
+    is_covered = lambda t: any(t[:n] in covered for n in range(4, min(8, len(t)) + 1))
     for t in sorted((t for t in strong if t[-1] == "*"), key=lambda t: (len(t), t)):  # shortest stems first
         stem = t[:-1]
-        if any(stem.startswith(c) for c in covered):
+        if is_covered(stem):
             continue
-        covered.append(stem)
-        while longer := [x for x in strong if len(x) == len(stem) + 2 and x[-1] == "*" and x.startswith(stem) and ins[x] >= 0.95 * ins[stem + "*"]]:
-            stem = longer[0][:-1]
-        words = [x for x in strong if x[-1] != "*" and x.startswith(stem) and ins[x] >= 0.9 * ins[stem + "*"]]
-        term = words[0] if words else stem
-        chosen[term] = Term(term, not words, odds[term if words else stem + "*"], edits_for(len(term)))
+        covered.add(stem)
+        while more := [x for x in longer[stem] if ins[x] >= 0.95 * ins[stem + "*"]]:
+            stem = more[0][:-1]
+        whole = [x for x in words[stem] if ins[x] >= 0.9 * ins[stem + "*"]]
+        term = whole[0] if whole else stem
+        chosen[term] = Term(term, not whole, odds[term if whole else stem + "*"], edits_for(len(term)))
     for t in strong:
-        if t[-1] != "*" and not any(t.startswith(c) for c in covered):
+        if t[-1] != "*" and not is_covered(t):
             chosen[t] = Term(t, False, odds[t], edits_for(len(t)))
     terms = sorted(chosen.values(), key=lambda t: (-t.weight, t.text))[:most_terms]
 

@@ -193,6 +193,16 @@ def test_line_dedup(spark, docs, empty):
     assert linededup.without_shared_lines(docs).count() == len(DOCS)
 
 
+def test_rare_toxic_terms_are_learned_behind_many_common_ones(spark):
+    letters = "abcdefghij"
+    common = " ".join("".join(letters[int(c)] for c in f"{k:05d}") + "q" for k in range(30_000))  # and their stems: over 50,000 terms
+    rows = [(i, common + (" zzyzxian" if i < 5 else ""), 1) for i in range(7)] + [(100 + i, common, 0) for i in range(120)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.learn(d, lab, folds=1_000_003)
+    assert [t.text for t in model.terms] == ["zzyzxian"]
+
+
 def left(spark, *texts):
     """What line deduplication leaves of texts, the earliest first."""
     rows = linededup.without_shared_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
