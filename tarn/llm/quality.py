@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import WORD_BREAK, written
+from tarn.llm.common import WORD_BREAK, let, written
 
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 BUCKETS = 1 << 16
@@ -22,15 +22,19 @@ def text_of() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def ngrams(d: DataFrame) -> DataFrame:
-    """The rows of d (with text__) once for each token: a__, and the one behind it, b__ (null at the end)."""
-    d = d.withColumn("t__", F.regexp_extract_all("text__", F.lit(TOKEN), F.lit(0))).drop("text__")
-    pairs = F.arrays_zip(F.col("t__").alias("a__"), F.slice("t__", 2, F.greatest(F.size("t__"), F.lit(1))).alias("b__"))
-    return d.select(*[c for c in d.columns if c != "t__"], F.inline_outer(pairs).alias("a__", "b__"))
+def bucket(*cols: Column) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(BUCKETS)).cast("int")
 
 
-def bucket(*cols: str) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(BUCKETS)).cast("int")
+def grams(text: Column) -> Column:
+    """The buckets of a text's n-grams in one array: those of its tokens, and BUCKETS more for those of its pairs of tokens."""
+
+    def of(t):
+        pair = lambda i: F.lit(BUCKETS) + bucket(F.get(t, i - 1), F.get(t, i))
+        pairs = F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(1), F.size(t) - 1), pair)).otherwise(F.array().cast("array<int>"))
+        return F.concat(F.transform(t, lambda x: bucket(x)), pairs)
+
+    return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), of)
 
 
 def trusted_ids(labels: DataFrame, rows: int) -> DataFrame:
@@ -45,33 +49,59 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted_rows: int = 50_000, p
     Corpus counts are over all of docs; the trusted ones over at most trusted_rows labelled documents. ratio is
     ln((trusted + prior * corpus share) / (all trusted + prior) / corpus share) in millionths; 0 with no trusted text.
     """
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text__")).join(F.broadcast(trusted_ids(labels, trusted_rows)), "doc_id", "left")
-    g = ngrams(d.select("good__", "text__")).where("a__ is not null")
-    both = F.inline(F.array(F.struct(F.lit(1).alias("kind"), bucket("a__").alias("bucket")), F.struct(F.lit(2).alias("kind"), F.when(F.col("b__").isNotNull(), bucket("a__", "b__")).alias("bucket"))))
-    n = g.select("good__", both).where("bucket is not null").groupBy("kind", "bucket").agg(F.count("*").alias("n"), F.count("good__").alias("good"))
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text__"))
+    d = d.join(F.broadcast(trusted_ids(labels, trusted_rows)), "doc_id", "left")  # at most trusted_rows ids
+    g = d.select("good__", F.explode(grams(F.col("text__"))).alias("gram"))
+    n = g.groupBy("gram").agg(F.count("*").alias("n"), F.count("good__").alias("good"))
+    n = n.select((F.floor(F.col("gram") / BUCKETS) + 1).cast("int").alias("kind"), (F.col("gram") % BUCKETS).alias("bucket"), "n", "good")
     n = written(n, "ngram-counts")
     all_ = n.groupBy("kind").agg(F.sum("n").alias("n_all"), F.sum("good").alias("good_all"))
     share = F.col("n") / F.col("n_all")
     ratio = F.log((F.col("good") + prior * share) / (F.col("good_all") + prior) / share)
-    return written(n.join(F.broadcast(all_), "kind").select("kind", "bucket", F.round(F.when(F.col("good_all") > 0, ratio).otherwise(0.0) * MICRO).cast("bigint").alias("ratio")), "ngram-ratios")
-
-
-def base_counts(d: DataFrame) -> DataFrame:
-    """d (with text__) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    t = F.col("text__")
-    d = d.withColumn("w__", F.array_remove(F.split(t, WORD_BREAK), ""))
-    d = d.withColumn("l__", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    d = d.withColumn("n_words", F.size("w__").cast("bigint")).withColumn("word_chars", F.length(F.array_join("w__", "")).cast("bigint"))
-    d = d.withColumn("n_symbols", F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("bigint"))
-    d = d.withColumn("n_dup_lines", (F.size("l__") - F.size(F.array_distinct("l__"))).cast("bigint"))
-    # windows of three words by their hash; only texts in which one occurs again are looked at further
-    h = F.slice(F.transform("w__", lambda x, i: F.xxhash64(x, F.get("w__", i + 1), F.get("w__", i + 2))), 1, F.greatest(F.size("w__") - 2, F.lit(0)))
-    d = d.withColumn("h__", h).drop("l__", "w__")
-    d = d.withColumn("s__", F.when(F.size(F.array_distinct("h__")) < F.size("h__"), F.array_sort(F.transform("h__", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    again = F.filter("s__", lambda e, k: F.coalesce(e["h"] == F.get("s__", k - 1)["h"], F.lit(False)) | F.coalesce(e["h"] == F.get("s__", k + 1)["h"], F.lit(False)))
-    d = d.withColumn("p__", F.sort_array(F.transform(again, lambda e: e["i"]))).drop("s__", "h__")
-    covered = F.transform("p__", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("p__", k + 1) - x, F.lit(3))).cast("bigint"))
-    return d.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0).cast("bigint"))).drop("p__")
+    micro = F.round(F.when(F.col("good_all") > 0, ratio).otherwise(0.0) * MICRO).cast("bigint")
+    return written(n.join(F.broadcast(all_), "kind").select("kind", "bucket", micro.alias("ratio")), "ngram-ratios")
+
+
+def ratio_array(ratios: DataFrame) -> Column:
+    """log_ratios() as one array of 2 * BUCKETS numbers that every task holds; 0 where a bucket doesn't occur."""
+    gram = (F.col("kind") - 1) * BUCKETS + F.col("bucket")
+    every = ratios.sparkSession.range(2 * BUCKETS).select(F.col("id").cast("int").alias("gram"), F.lit(0).cast("bigint").alias("ratio"))
+    dense = ratios.select(gram.cast("int").alias("gram"), "ratio").unionByName(every).groupBy("gram").agg(F.sum("ratio").alias("ratio"))
+    return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("gram", "ratio"))), lambda x: x["ratio"])).scalar()
+
+
+def repeated_words(w: Column) -> Column:
+    """How many of the words w are in three-word windows that occur again. Only texts with such a window are sorted."""
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    def again(h):  # places of such windows, ascending
+        by_hash = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        like = lambda s, x, k: F.coalesce(x["h"] == F.get(s, k)["h"], F.lit(False))
+        twice = let(by_hash, lambda s: F.filter(s, lambda x, k: like(s, x, k - 1) | like(s, x, k + 1)))
+        return F.sort_array(F.transform(twice, lambda x: x["i"]))
+
+    def covered(p):  # each window covers its words up to the next one's
+        new = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
+        return F.aggregate(new, F.lit(0), lambda a, x: a + x)
+
+    count = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(again(h), covered)).otherwise(0))
+    return F.when(F.size(w) < 4, 0).otherwise(count).cast("bigint")
+
+
+def base_counts(text: Column) -> Column:
+    """n_words, word_chars, n_repeat_words, n_symbols and n_dup_lines of a text, as a struct."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    of_words = let(F.array_remove(F.split(text, WORD_BREAK), ""), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    return let(
+        of_words,
+        lambda x: F.struct(
+            x["n_words"].alias("n_words"),
+            F.length(F.regexp_replace(text, WORD_BREAK, "")).cast("bigint").alias("word_chars"),
+            F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
+            let(lines, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("bigint").alias("n_dup_lines"),
+            x["n_repeat_words"].alias("n_repeat_words"),
+        ),
+    )
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = -0.25, **options) -> DataFrame:
@@ -79,16 +109,15 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = -0.25, **opti
 
     base_failed: under 50 words, or over half of them in three-word windows found again. kept: not base_failed, and
     ratio_sum >= threshold * n_ngrams (in millionths). A null text counts as empty; an empty one fails the base. Rows are
-    judged one by one, so repeated rows and null doc_ids stay; an empty table gives no rows, other columns are ignored.
+    judged one by one, where they are read, so repeated rows and null doc_ids stay; an empty table gives no rows, other
+    columns are ignored.
     """
-    ratios = log_ratios(docs, labels, **options)
-    side = lambda kind, key: F.broadcast(ratios.where(F.col("kind") == kind).select(F.col("bucket").alias(key), F.col("ratio").alias(f"ratio_{key}")))  # noqa: E731  BUCKETS rows at most
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text__"), F.monotonically_increasing_id().alias("row__"))
-    g = ngrams(base_counts(d)).withColumn("u__", bucket("a__")).withColumn("v__", F.when(F.col("b__").isNotNull(), bucket("a__", "b__")))
-    g = g.join(side(1, "u__"), "u__", "left").join(side(2, "v__"), "v__", "left")
-    both = F.coalesce("ratio_u__", F.lit(0)) + F.coalesce("ratio_v__", F.lit(0))
-    out = g.groupBy("row__").agg(F.first("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in counts], F.sum(F.when(F.col("a__").isNotNull(), both).otherwise(0)).alias("ratio_sum"), (F.count("a__") + F.count("b__")).alias("n_ngrams"))
+    ratios = ratio_array(log_ratios(docs, labels, **options))
+    summed = lambda r: lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda a, x: a + F.get(r, x))
+    of_grams = lambda r: let(grams(text_of()), lambda g: F.struct(F.size(g).cast("bigint").alias("n"), summed(r)(g).alias("sum")))
+    d = docs.select("doc_id", "text", ratios.alias("r__"))  # named once below, so the plan has it inline and not in each row
+    d = d.select(F.col("doc_id").cast("bigint").alias("doc_id"), base_counts(text_of()).alias("c__"), let(F.col("r__"), of_grams).alias("g__"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = F.col("ratio_sum") >= F.lit(round(threshold * MICRO)) * F.col("n_ngrams")
-    return out.select("doc_id", *counts, "n_ngrams", "ratio_sum", failed.alias("base_failed"), (~failed & fine).alias("kept"))
+    d = d.select("doc_id", "c__.*", F.col("g__.n").alias("n_ngrams"), F.col("g__.sum").alias("ratio_sum"))
+    return d.select("*", failed.alias("base_failed"), (~failed & fine).alias("kept"))
