@@ -367,6 +367,7 @@ def brute_fingerprint(text):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     hash_int = lambda v, seed: xxhash.xxh64_intdigest((v & m64).to_bytes(8, "little"), seed=seed)
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    w = [y for x in w for y in (re.findall(r"\S{0,5}?[aeiouAEIOU0-9\x80-\U0010ffff]|\S{1,6}", x) if len(x) > 12 else [x])]
     packed = []
     for i, x in enumerate(w):
         h = xxhash.xxh64_intdigest(x, seed=42)
@@ -397,6 +398,7 @@ def brute_fingerprint(text):
 def test_fingerprint_is_brute_forces(spark):
     rng = np.random.default_rng(7)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, k, 400)) for k in (5, 50, 5000)]
+    texts += ["one", "two words", "short short\ttext\n short text", "".join(map(chr, rng.integers(33, 127, 90))) + " é漢字xxxxxxxxxxxxxxxxé", "abcdefghijkl abcdefghijklm"]
     d = spark.createDataFrame([(t,) for t in texts], "text string")
     got = [r[0] for r in d.select(fingerprint.fingerprint(d.text)).collect()]
     assert got == [brute_fingerprint(t) for t in texts]
@@ -408,7 +410,7 @@ def test_likeness_does_not_depend_on_lengths(spark):
     unbroken = "".join(map(chr, rng.integers(0x4E00, 0x9000, 400))) + "\U0001f600"
     cut = unbroken[:200] + "x" + unbroken[201:]
     rows = [(long[:257], long[:255]), (long[:400], long[:200]), (unbroken, cut), (unbroken[:257], unbroken[:255]), ("two words", "two  words"), (long[:300], unbroken), ("", "")]
-    d = spark.createDataFrame(rows, "a string, b string").select(*[fingerprint.both(F.col(c)).alias(c) for c in "ab"])
+    d = spark.createDataFrame(rows, "a string, b string").select(*[fingerprint.fingerprint(F.col(c)).alias(c) for c in "ab"])
     near = [r[0] for r in d.select(fingerprint.likeness("a", "b")).collect()]
     assert min(near[0], near[2], near[3]) > 0.8 and min(near[1], near[4]) > 0.4 and near[5] < 0.3 and near[6] == 1.0
     docs = spark.createDataFrame([(1, long[:300]), (2, long[300:360]), (3, "end")], "doc_id bigint, text string")
