@@ -1,16 +1,18 @@
 """Line deduplication by pairwise alignment.
 
-A line that several documents share names the first of them as partner of each other one, so pairs grow with the
-lines, however common a line is. A later document's shared lines are aligned with those of each partner by patience:
-lines that it has once are anchors, the longest sequence of them that is ascending in both is kept, and lines beside
-an aligned one that continue the match join it. Then all occurrences of the lines in both documents are taken, and
-each run whose lines follow one another in its partners in the same order is aligned too, wherever it stands there and
-however often it is repeated. Runs of aligned lines with enough words are deleted from the later document; short lines
-that many documents share by chance stay.
-
-A line's first holder may have it in another place than a later partner, so blocks are shared as such too: each line
-begins and ends a shortest block with enough words, whose hash follows from its lines alone. A block that an
-earlier document has is deleted, whoever holds its lines first. So there are three rows a line at most.
+A line that several documents share names the first of them as partner of each other one, so a rare line, of two
+documents, names their pair, and pairs grow with the lines however common a line is. A later document's shared lines are
+aligned with those of each partner by patience: lines that it has once are anchors, the longest sequence of them that is
+ascending in both is kept, and lines beside an aligned one that continue the match join it. Then all occurrences of the
+lines in both documents are taken, and each run whose lines follow one another in the partner in the same order is
+aligned too, wherever it stands there and however often it is repeated. Runs are judged pair by pair: those of a pair's
+aligned lines with enough words are deleted from the later document; short lines that many documents share by chance
+stay, also where lines of several partners happen to stand side by side.
+
+A common line's first holder may not be the document that a block comes from, so blocks are shared as such too: each line
+begins and ends a shortest block with enough words, whose hash follows from its lines alone. A block that any earlier
+document has is deleted, whoever holds its lines first: unbroken blocks are found exactly, without pairs. So there are
+three rows a line at most.
 """
 
 from __future__ import annotations
@@ -121,23 +123,40 @@ def aligned(pairs: list[tuple[int, int]]) -> set[int]:
     return set(matches)
 
 
+def runs(hit: set[int], at: dict, least_words: int) -> set[int]:
+    """The places of hit in runs of neighbours with least_words; at has words and places there by place here."""
+    found, run, words = set(), [], 0
+    for x in sorted(hit):
+        if run and x != run[-1] + 1:
+            run, words = [], 0
+        run.append(x)
+        words += at[x][0]
+        if words >= least_words:
+            found.update(run)
+            run = run[-1:]  # the rest is in found; the run goes on
+    return found
+
+
 def in_order(at: dict, least_words: int) -> set[int]:
-    """Places of runs of least_words and more whose lines stand in each partner in the same order.
+    """Places of runs of least_words and more whose lines stand in the partner in the same order.
 
-    at has words, partner and all (ascending) places there of each shared line by its place here. Lines of a run
+    at has words and all (ascending) places in the partner of each shared line by its place here. Lines of a run
     follow one another here. Each place looks for words on both sides, and back from the end of any run that holds it,
     a walk that has enough covers it; a walk ends with enough words, so work grows with the lines.
     """
     found: set[int] = set()
     for x in at:
         for step in (1, -1):
-            y, words, last = x, 0, {}
+            y, words, last = x, 0, None
             while words < least_words and y in at:
-                n, partner, there = at[y]
-                k = bisect_right(there, last.get(partner, -1)) if step == 1 else bisect_left(there, last.get(partner, there[-1] + 1)) - 1
-                if not 0 <= k < len(there):
-                    break
-                last[partner] = there[k]
+                n, there = at[y]
+                if last is None:
+                    last = there[0] if step == 1 else there[-1]
+                else:
+                    k = bisect_right(there, last) if step == 1 else bisect_left(there, last) - 1
+                    if not 0 <= k < len(there):
+                        break
+                    last = there[k]
                 words += n
                 y += step
             if words >= least_words:
@@ -145,30 +164,34 @@ def in_order(at: dict, least_words: int) -> set[int]:
     return found
 
 
+def deleted(mine: list, least_words: int) -> set[int]:
+    """Places to delete of a document with shared lines and blocks (words, span, places, partner..., places there)."""
+    pairs: dict = defaultdict(dict)
+    for n, span, places, a, a_same, there in mine:
+        if span == 1:
+            pairs[a, a_same].update((x, (n, there)) for x in places)
+    gone: set[int] = set()
+    for at in pairs.values():
+        if sum(n for n, _ in at.values()) >= least_words:
+            hit = aligned([(x, there[0]) for x, (_, there) in at.items()])
+            gone |= runs(hit, at, least_words) | in_order(at, least_words)
+    gone.update(y for _, span, places, *_ in mine if span > 1 for x in places for y in range(x, x + span))
+    return gone
+
+
 def deletions(all_lines: DataFrame, least_words: int) -> DataFrame:
     """doc_id, same and places: the lines with words to delete from each later document."""
     first = F.min(F.struct("doc_id", "same", "places")).alias("first")
     last = F.max(F.struct("doc_id", "same")).alias("last")
-    shared = all_lines.groupBy("h", "g").agg(first, last).where("first.doc_id <> last.doc_id or first.same <> last.same").select("h", "g", F.col("first.doc_id").alias("a"), F.col("first.same").alias("a_same"), F.col("first.places").alias("a_places"))
+    shared = all_lines.groupBy("h", "g").agg(first, last).where("first.doc_id <> last.doc_id or first.same <> last.same")
+    shared = shared.select("h", "g", F.col("first.doc_id").alias("a"), F.col("first.same").alias("a_same"), F.col("first.places").alias("a_places"))
     rows = all_lines.join(shared, ["h", "g"]).where("a <> doc_id or a_same <> same").select("doc_id", "same", "words", "span", "places", "a", "a_same", "a_places")
 
     def run(batches):
         key, mine, out = None, [], []
 
         def close():
-            by: dict = defaultdict(list)
-            at = {x: (n, (a, a_same), there) for n, span, places, a, a_same, there in mine if span == 1 for x in places}
-            for x, (_, partner, there) in at.items():
-                by[partner].append((x, there[0]))
-            hit = sorted(set().union(*(aligned(p) for p in by.values())))
-            gone, start = in_order(at, least_words), 0
-            for k in range(1, len(hit) + 1):
-                if k == len(hit) or hit[k] != hit[k - 1] + 1:
-                    if sum(at[x][0] for x in hit[start:k]) >= least_words:
-                        gone.update(hit[start:k])
-                    start = k
-            gone.update(y for _, span, places, *_ in mine if span > 1 for x in places for y in range(x, x + span))
-            if gone:
+            if gone := deleted(mine, least_words):
                 out.append((*key, sorted(gone)))
 
         def batch():
@@ -198,9 +221,10 @@ def without_shared_lines(docs: DataFrame, least_words: int = 20) -> DataFrame:
 
     Of aligned lines, runs of at least least_words words are deleted from the later document: the larger doc_id,
     or, of one doc_id with several texts, the larger hash of the text. Lines are compared without white space around
-    them; blank lines neither end a run nor count for it, and go with a run that they are inside of. Rows that agree in doc_id and text are one document, so they lose the same
-    lines and not each other's. Rows with a null doc_id stay as they are; a null text becomes empty. All other columns
-    stay; n_lines and n_removed are replaced. A document all of whose lines go has an empty text.
+    them; blank lines neither end a run nor count for it, and go with a run that they are inside of. Rows that agree in
+    doc_id and text are one document, so they lose the same lines and not each other's. Rows with a null doc_id stay as
+    they are; a null text becomes empty. All other columns stay; n_lines and n_removed are replaced. A document all of
+    whose lines go has an empty text.
     """
     found = written(lines(docs, least_words), "lines")
     gone = deletions(found, least_words).withColumnRenamed("doc_id", "doc_id__").withColumnRenamed("same", "same___")

@@ -252,6 +252,50 @@ def test_line_dedup_deletes_what_brute_force_finds(spark):
         assert all(whole[x] - kept[x] >= n for x, n in Counter(t[x] for x in gone).items())
 
 
+def test_line_dedup_judges_each_pair(spark):
+    block = [" ".join(f"b{k}x{w}" for w in range(8)) for k in range(4)]
+    scattered = ["\n".join(["one a", block[0], "one b", block[2]]), "\n".join(["two a", block[3], "two b", block[1]])]
+    holder, later = "\n".join(["five", *block]), "\n".join(["nine", *block, "nine end"])
+    assert left(spark, *scattered, holder, later) == [*scattered, holder, "nine\nnine end"]
+    singles = [f"own {k}\n{x}\nmore {k}" for k, x in enumerate(block)]
+    mosaic = "\n".join(block)  # of four documents, none of which has two of its lines
+    assert left(spark, *singles, mosaic) == [*singles, mosaic]
+    assert left(spark, *singles, mosaic, f"x\n{mosaic}") == [*singles, mosaic, "x"]
+
+
+def test_line_dedup_is_between_brute_forces(spark):
+    """All that is unbroken in some earlier document goes; nothing goes that no earlier document has in order."""
+    rng = np.random.default_rng(12)
+    pool = [" ".join(f"m{k}w{w}" for w in range(rng.integers(2, 10))) for k in range(25)]
+    texts = []
+    for k in range(60):
+        t = [pool[x] if rng.random() < 0.7 else f"line {k} {x} of its own" for x in rng.integers(0, 25, rng.integers(1, 18))]
+        for _ in range(rng.integers(0, 3) if texts else 0):  # a block of an earlier one, whole or with a line put in between
+            old = texts[rng.integers(len(texts))]
+            s = rng.integers(len(old))
+            t += old[s : s + 5] if rng.random() < 0.7 else [*old[s : s + 2], "between", *old[s + 2 : s + 5]]
+        texts.append(t)
+    got = left(spark, *["\n".join(x) for x in texts])
+
+    def subsequence(run, text):
+        rest = iter(text)
+        return all(line in rest for line in run)
+
+    for i, t in enumerate(texts):
+        least, most = set(), set()
+        for s in range(len(t)):
+            for e in range(s + 1, len(t) + 1):
+                if sum(len(x.split()) for x in t[s:e]) >= 20 and any(subsequence(t[s:e], x) for x in texts[:i]):
+                    most |= set(range(s, e))
+                    if any(t[s:e] == x[k : k + e - s] for x in texts[:i] for k in range(len(x))):
+                        least |= set(range(s, e))
+        kept, whole = Counter(x for x in got[i].split("\n") if x), Counter(t)
+        gone = whole - kept
+        assert not kept - whole
+        assert all(gone[x] >= n for x, n in Counter(t[k] for k in least).items()), i
+        assert not gone - Counter(t[k] for k in most), i
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mixed(docs, block_rows=2).collect()
     assert sorted(r.position for r in got) == list(range(len(DOCS)))
