@@ -1,71 +1,73 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Block j (from 1) of a source of weight w is released at slot (j - 1) / w, rounded down, and due at j / w, rounded up;
-of the released blocks the one due first goes first. So after every slot each source has had its weight's share to
-less than a block. Weights are whole numbers out of a period, and a period's schedule repeats: it is made once on the
-driver and all blocks find their slots by joins. When a source has no block left, the next phase shares the slots
-among the others by the same weights.
+Block j (from 1) of a source of weight w is released at (j - 1) / w, rounded down to a slot, and due at j / w, rounded
+up; of the released blocks the one due first goes first. So after every slot each source has had its weight's share to
+less than a block. Weights are exact: whole numbers of any size in proportion to those given. When a source has no block
+left, the others share the slots by the same weights: time runs on by the slots that they have had.
+
+A source's rows are cut into blocks of equal size, so many for all sources that the driver can schedule them; larger
+tables have larger blocks, as a share of the mix they stay the same. All rows find their places by a join.
 """
 
 from __future__ import annotations
 
-import json
-from heapq import heapify, heappop, heappush
+from fractions import Fraction
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import ranked
 
-#: Sources at most; their counts and schedule are held by the driver.
-MOST_SOURCES = 10_000
-
-
-def whole_weights(weights: dict, period: int) -> dict:
-    """Whole numbers of at least 1 in proportion to the weights, of sum period (largest remainders first)."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s))):
-        if sum(out.values()) >= period:
-            break
-        out[s] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s] - exact[s], out[s]))] -= 1
-    return out
+#: Times are kept in whole numbers with so many bits behind the point; they only order blocks.
+_POINT = 96
+#: Schedules of up to so many rows are broadcast, others joined.
+BROADCAST_ROWS = 250_000
+
+
+def whole_weights(weights: dict) -> dict:
+    """Whole numbers in exactly the proportions of the weights (all over 0)."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be over 0")
+    scale = 1
+    for w in exact.values():
+        scale = scale * w.denominator // _common(scale, w.denominator)
+    return {s: int(w * scale) for s, w in exact.items()}
 
 
-def period_schedule(parts: dict) -> dict:
-    """The slots of each source's blocks in one period of sum(parts) slots: earliest deadline first, once released."""
-    period, slots = sum(parts.values()), {s: [] for s in parts}
-    coming = [(0, -(-period // a), k, s, 1) for k, (s, a) in enumerate(parts.items())]  # release, deadline, ..., block
-    heapify(coming)
-    released: list = []
-    for t in range(period):
-        while coming and coming[0][0] <= t:
-            heappush(released, heappop(coming)[1:])
-        _, k, s, j = heappop(released)
-        slots[s].append(t)
-        if j < (a := parts[s]):
-            heappush(coming, (j * period // a, -(-(j + 1) * period // a), k, s, j + 1))
-    return slots
-
-
-def phases(blocks: dict, weights: dict, period: int) -> list[tuple]:
-    """(source, phase, first block, blocks, parts, period, first slot, slots of one period) until no block is left."""
-    out, left, done, start, number = [], dict(blocks), dict.fromkeys(blocks, 0), 0, 0
-    while left := {s: n for s, n in left.items() if n}:
-        parts = whole_weights({s: weights[s] for s in left}, max(period, 8 * len(left)))
-        whole, slots = sum(parts.values()), period_schedule(parts)
-        last = lambda s: (left[s] - 1) // parts[s] * whole + slots[s][(left[s] - 1) % parts[s]]  # noqa: B023, E731
-        length = min(last(s) for s in left) + 1
-        for s in left:
-            had = length // whole * parts[s] + sum(t < length % whole for t in slots[s])
-            if had:
-                out.append((s, number, done[s], had, parts[s], whole, start, slots[s]))
-            done[s] += had
-            left[s] -= had
-        start, number = start + length, number + 1
+def _common(a: int, b: int) -> int:
+    while b:
+        a, b = b, a % b
+    return a
+
+
+def schedule(blocks: dict, weights: dict) -> list[tuple]:
+    """(source, block) in the order of the mix, blocks from 0: earliest deadline first among the released.
+
+    With C the blocks that the sources with blocks left have had, and W their weights' sum, time is C / W; block j of a
+    source of weight a is released once (j - 1) / a < (C + 1) / W and due at j / a. A block costs two heap operations.
+    """
+    parts = whole_weights({s: weights[s] for s, n in blocks.items() if n})
+    names = sorted(parts, key=str)
+    had, whole, all_had = dict.fromkeys(names, 0), sum(parts.values()), 0
+    out: list[tuple] = []
+    coming = [(0, k) for k in range(len(names))]  # release, source; a sorted list is a heap
+    released: list[tuple] = []  # deadline, source
+    while coming or released:
+        while coming and had[s := names[coming[0][1]]] * whole < (all_had + 1) * parts[s]:
+            _, k = heappop(coming)
+            heappush(released, (((had[s] + 1) << _POINT) // parts[s], k))
+        _, k = heappop(released)
+        s = names[k]
+        out.append((s, had[s]))
+        had[s] += 1
+        all_had += 1
+        if had[s] < blocks[s]:
+            heappush(coming, ((had[s] << _POINT) // parts[s], k))
+        else:
+            whole -= parts[s]
+            all_had -= had[s]
     return out
 
 
@@ -73,42 +75,35 @@ def target_weights(counts: dict, power: float) -> dict:
     return {s: n**power for s, n in counts.items()}
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block_rows: int = 16, period: int = 1000) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, blocks: int = 20_000, block_rows: int | None = None) -> DataFrame:
     """docs with source_key, block, slot and position: every row once, in the order of the mix.
 
-    weights are by source (a null source is ''); without them a source's target is its row count to the given
+    weights (over 0) are by source (a null source is ''); without them a source's target is its row count to the given
     power. A source missing from weights has the smallest weight given. A source's rows are ordered by a hash of doc_id and
-    text, and make blocks of block_rows; the last may be shorter. `slot` numbers blocks in the order of the mix,
-    `position` rows, without gaps. Columns that clash with the new ones are replaced. An empty table gives no rows.
+    text, and make blocks of block_rows, by default as many rows as make about `blocks` blocks of all; a source's last may
+    be shorter. `slot` numbers blocks in the order of the mix, `position` rows, without gaps. Columns that clash with the
+    new ones are replaced. An empty table gives no rows. The driver holds a count for each source and a row for each block:
+    at most `blocks` and the number of sources together.
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("source_key", "block", "slot", "position", "order__")]
     d = docs.select(*own, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"))
     d = d.withColumn("order__", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))) if "text" in own else F.xxhash64("doc_id"))
-    d = ranked(d, ["source_key"], ["order__"], "mix").withColumn("block", F.floor(F.col("rank__") / block_rows)).drop("order__")
-    counts = {r[0]: r[1] for r in d.groupBy("source_key").count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    d = ranked(d, ["source_key"], ["order__"], "mix").drop("order__")
+    counts = {r[0]: r[1] for r in d.groupBy("source_key").count().collect()}
     if weights is not None:
         least = min(weights.values(), default=1.0)
         weights = {s: weights.get(s, least) for s in counts}
-    found = phases({s: -(-n // block_rows) for s, n in counts.items()}, weights or target_weights(counts, power), period)
-    runs = spark.createDataFrame([(s, p, first, n, a, whole, start) for s, p, first, n, a, whole, start, _ in found], "source_key string, phase__ int, first__ bigint, n__ bigint, parts__ bigint, whole__ bigint, start__ bigint")
-    at = spark.createDataFrame([(s, p, k, t) for s, p, *_, slots in found for k, t in enumerate(slots)], "source_key string, phase__ int, k__ bigint, in__ bigint")
-    b = F.broadcast  # runs and slots: bounded by MOST_SOURCES and the period
-    d = d.join(b(runs), "source_key").where("block >= first__ and block < first__ + n__")
-    d = d.withColumn("k__", (F.col("block") - F.col("first__")) % F.col("parts__")).join(b(at), ["source_key", "phase__", "k__"])
-    d = d.withColumn("slot", F.col("start__") + F.floor((F.col("block") - F.col("first__")) / F.col("parts__")) * F.col("whole__") + F.col("in__"))
-    # rows before a slot: all earlier slots are full, but for the last blocks of sources that ended
-    last = {x[0]: x for x in found}
-    short = []
-    for s, rows in counts.items():
-        if rows % block_rows:
-            _, _, _, n, a, whole, start, slots = last[s]
-            short.append((start + (n - 1) // a * whole + slots[(n - 1) % a], block_rows - rows % block_rows))
-    gaps = F.from_json(F.lit(json.dumps([{"t": t, "n": n} for t, n in short])), "array<struct<t:bigint,n:bigint>>")
-    less = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda acc, g: acc + F.when(g["t"] < F.col("slot"), g["n"]).otherwise(F.lit(0).cast("bigint")))
-    return d.withColumn("position", (F.col("slot") * block_rows + F.col("rank__") % block_rows - less).cast("bigint")).select(*own, "source_key", "block", "slot", "position")
+    each = block_rows or max(1, -(-sum(counts.values()) // blocks))
+    order = schedule({s: -(-n // each) for s, n in counts.items()}, weights or target_weights(counts, power))
+    rows, at = [], 0
+    for slot, (s, b) in enumerate(order):
+        rows.append((s, b, slot, at))
+        at += min(each, counts[s] - b * each)
+    places = spark.createDataFrame(rows, "source_key string, block bigint, slot bigint, at__ bigint")
+    places = F.broadcast(places) if len(rows) <= BROADCAST_ROWS else places
+    d = d.withColumn("block", F.floor(F.col("rank__") / each)).join(places, ["source_key", "block"])
+    return d.withColumn("position", F.col("at__") + F.col("rank__") % each).select(*own, "source_key", "block", "slot", "position")
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:

@@ -301,7 +301,7 @@ def test_mixing(spark, docs, empty):
     assert sorted(r.position for r in got) == list(range(len(DOCS)))
     assert Counter(r.source_key for r in got) == Counter(s or "" for *_, s in DOCS)
     big = spark.createDataFrame([(i, "s" + str(min(i % 7, 3))) for i in range(700)], "doc_id bigint, source string")
-    rows = sorted(mixing.mixed(big, {"s0": 1.0, "s1": 2.0, "s2": 3.0, "s3": 4.0}, block_rows=5, period=100).collect(), key=lambda r: r.position)
+    rows = sorted(mixing.mixed(big, {"s0": 1.0, "s1": 2.0, "s2": 3.0, "s3": 4.0}, block_rows=5).collect(), key=lambda r: r.position)
     ends = min(next(k for k in range(len(rows), 0, -1) if rows[k - 1].source == s) for s in ("s0", "s1", "s2", "s3"))
     had = Counter()
     for k, r in enumerate(rows[:ends]):
@@ -309,7 +309,15 @@ def test_mixing(spark, docs, empty):
         if (k + 1) % 5 == 0:
             for s, w in (("s0", 0.1), ("s1", 0.2), ("s2", 0.3), ("s3", 0.4)):
                 assert abs(had[s] / 5 - w * (k + 1) / 5) < 1
+    by_row = sorted(mixing.mixed(big).collect(), key=lambda r: r.position)  # blocks of one row
+    share = {s: n**0.7 / sum(x**0.7 for x in Counter(r.source for r in rows).values()) for s, n in Counter(r.source for r in rows).items()}
+    had = Counter()
+    for k, r in enumerate(by_row[:600], 1):
+        had[r.source] += 1
+        assert r.slot == r.position == k - 1 and (max(had.values()) >= 100 or all(abs(had[s] - w * k) < 1 for s, w in share.items()))
     assert mixing.mixed(empty).collect() == []
+    joined = mixing.mixed(docs, blocks=3).collect()
+    assert sorted(r.position for r in joined) == list(range(len(DOCS)))
     kept = mixing.in_mixed_order(docs)
     assert kept.columns == docs.columns and kept.count() == len(DOCS)
 

@@ -1,7 +1,9 @@
 """Parts that need no Spark: packing plans, schedules, the curve, alignment, automata, escapes, bundles."""
 
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -37,33 +39,65 @@ def test_nnls_repeats_exact_patterns():
     assert x[(1448, 600)] == pytest.approx(50, rel=0.05)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.integers(1, 60), min_size=1, max_size=6))
-def test_schedule_is_fair(parts):
-    slots = mixing.period_schedule(parts)
-    whole = sum(parts.values())
-    assert sorted(t for x in slots.values() for t in x) == list(range(whole))
-    for s, a in parts.items():
-        had = 0
-        for t in range(whole):
-            had += t in slots[s]
-            assert abs(had - a * (t + 1) / whole) < 1
-
-
-def test_phases_use_every_block():
-    blocks = {"a": 100, "b": 7, "c": 1, "": 31}
-    at = set()
-    done = Counter()
-    for s, _, first, n, a, whole, start, slots in mixing.phases(blocks, {"a": 1.0, "b": 1.0, "c": 5.0, "": 0.1}, 50):
-        assert first == done[s]
-        done[s] += n
-        at |= {start + k // a * whole + slots[k % a] for k in range(n)}
-    assert done == blocks and at == set(range(139))
-
-
-def test_whole_weights():
-    w = mixing.whole_weights({"a": 1e-9, "b": 3.0, "c": 1.0}, 100)
-    assert sum(w.values()) == 100 and min(w.values()) == 1 and w["b"] > w["c"]
+def brute_schedule(blocks, weights):
+    """Slot by slot, looking at every source: (source, block), until the first source ends."""
+    total = sum(Fraction(w) for w in weights.values())
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    had, out = dict.fromkeys(weights, 0), []
+    while all(had[s] < n for s, n in blocks.items()):
+        t = len(out)
+        due = {s: ((had[s] + 1) / share[s], str(s)) for s in weights if math.floor(had[s] / share[s]) <= t}
+        s = min(due, key=due.get)
+        assert math.ceil(due[s][0]) > t  # in time
+        out.append((s, had[s]))
+        had[s] += 1
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.tuples(st.integers(1, 60), st.one_of(st.integers(1, 60), st.floats(1e-4, 1e3))), min_size=1, max_size=7))
+def test_schedule_is_fair(sources):
+    blocks, weights = {s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}
+    got = mixing.schedule(blocks, weights)
+    want = brute_schedule(blocks, weights)
+    assert got[: len(want)] == want
+    assert Counter(s for s, _ in got) == blocks and all([b for x, b in got if x == s] == list(range(n)) for s, n in blocks.items())
+    share = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+    had = Counter()
+    for t, (s, _) in enumerate(want, 1):
+        had[s] += 1
+        assert all(abs(had[s] - share[s] * t) < 1 for s in blocks)
+
+
+def test_long_schedules_keep_to_uneven_weights():
+    weights = {f"s{k}": w for k, w in enumerate((0.50017, 0.00017, 0.29979, 0.1, 0.03333, 0.06654))}
+    share = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+    had = Counter()
+    for t, (s, _) in enumerate(mixing.schedule(dict.fromkeys(weights, 8000), weights)[:12_000], 1):
+        had[s] += 1
+        assert all(abs(had[s] - share[s] * t) < 1 for s in weights)
+
+
+def test_sources_that_end_leave_their_slots_to_the_rest():
+    blocks = {"a": 1000, "b": 7, "c": 500, "": 31}
+    weights = {"a": 1.0, "b": 1.0, "c": 5.0, "": 0.1}
+    got = mixing.schedule(blocks, weights)
+    assert Counter(s for s, _ in got) == blocks
+    ends = sorted(max(t for t, (x, _) in enumerate(got) if x == s) for s in blocks)
+    rest = [s for s, _ in got[ends[0] + 1 : ends[1] + 1]]
+    left = {s: weights[s] for s in weights if s in rest}
+    for s, w in left.items():
+        assert abs(rest.count(s) - len(rest) * w / sum(left.values())) < 2
+    many = mixing.schedule(dict.fromkeys(range(20_000), 2), dict.fromkeys(range(20_000), 0.1))
+    assert len(many) == 40_000
+
+
+def test_whole_weights_are_exact():
+    assert mixing.whole_weights({"a": 0.5, "b": 3, "c": 0.75}) == {"a": 2, "b": 12, "c": 3}
+    w = mixing.whole_weights({"a": 1e-9, "b": 3.0})
+    assert Fraction(w["a"], w["b"]) == Fraction(1e-9) / 3
+    with pytest.raises(ValueError, match="over 0"):
+        mixing.whole_weights({"a": 0.0})
 
 
 def test_curve_visits_neighbours():
