@@ -382,6 +382,33 @@ def test_sharding(spark, docs, empty, tmp_path):
     assert Counter(r.doc_id for r in back.collect()) == Counter(i for i, *_ in DOCS)
 
 
+def test_hilbert_is_the_published_transform(spark):
+    rng = np.random.default_rng(4)
+    points = [tuple(map(int, p)) for p in [*rng.integers(0, 1024, (300, 3)), (0, 0, 0), (1023, 1023, 1023)]]
+    d = spark.createDataFrame(points, "a bigint, b bigint, c bigint")
+    got = d.select("a", "b", "c", sharding.hilbert([d.a, d.b, d.c], 10).alias("at")).collect()
+    assert all(r.at == sharding.hilbert_index((r.a, r.b, r.c), 10) for r in got)
+
+
+def test_sharding_follows_the_curve(spark):
+    rng = np.random.default_rng(6)
+    langs = [None, "de", "en"]
+    rows = [(int(i), "w" * int(rng.integers(0, 60)), langs[rng.integers(3)], f"s{rng.integers(30):02d}") for i in rng.integers(0, 60, 200)]
+    rows += rows[:5]  # ties
+    got = sorted(sharding.sharded(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), shards=7).collect(), key=lambda r: (r.shard, r.slot))
+    spread = lambda values: {v: k * 1024 // len(values) for k, v in enumerate(sorted(values, key=lambda v: (v is not None, v)))}
+    source, lang = spread({s for *_, s in rows}), spread(set(langs))
+    place = defaultdict(lambda: 1 << 30)
+    for _, t, g, s in rows:
+        cell = source[s], lang[g], int(np.floor(np.log2(len(t) + 16) * 32))
+        place[t] = min(place[t], sharding.hilbert_index(cell, 10))
+    assert [place["w" * (r.size - 16)] for r in got] == sorted(place[t] for _, t, *_ in rows)
+    runs = [(r.size, r.text_crc32) for k, r in enumerate(got) if not k or got[k - 1].text_crc32 != r.text_crc32]
+    assert len(runs) == len(set(runs))  # equal texts are neighbours, whatever their source
+    for k, r in enumerate(got[1:], 1):
+        assert got[k - 1].text_crc32 != r.text_crc32 or got[k - 1].doc_id <= r.doc_id
+
+
 def test_fingerprints(spark, docs, empty):
     got = fingerprint.edit_sensitivity(docs).collect()
     order = sorted({(i, t or "") for i, t, *_ in DOCS}, key=lambda d: (d[0] is not None, d[0] or 0))
