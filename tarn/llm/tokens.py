@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 
 #: Texts are encoded in groups of about so many characters, their words in groups of so many.
 GROUP_CHARS, GROUP_WORDS = 12_000_000, 500
-#: Signs beyond Latin, and a capital that lower-cases to two signs: texts with them aren't lower-cased here.
-OTHER = re.compile("[^\\x00-\\u024f]|\\u0130")
+#: Signs beyond Latin, a capital that lower-cases to two signs, and what control strings begin with, which the
+#: tokenizer knows by their case: texts with them aren't lower-cased here.
+OTHER = re.compile("[^\\x00-\\u024f]|\\u0130|<\\|")
 
 
 @lru_cache(maxsize=4)
@@ -95,7 +96,7 @@ class TextEncoder:
         def done():
             kinds: tuple[list[int], list[int]] = ([], [])
             for k, t in enumerate(group):
-                kinds[t.isascii() or not OTHER.search(t)].append(k)
+                kinds[t.isascii() and "<|" not in t or not OTHER.search(t)].append(k)
             out: list[bytes] = [b""] * len(group)
             for latin in (False, True):
                 if kinds[latin]:

@@ -207,6 +207,15 @@ def test_pigeonhole_finds_every_near_signature():
 ODD = ["a<|endoftext|>b c", "x y z\tq\n\nw", "don. it's 're re, ., .. ,", "", None, "ΑΣ ΣΑΣ İ", "<|startoftext|> hi", "ﬁx ªb ǅx ŉa ß, SS.", "שׁ א", "a" * 70 + ". " + "B" * 80, "A\nB\tC\r\nd", "É. é, É 12a3|b"]
 
 
+def test_control_strings_are_the_tokenizers():
+    e = tokens.encoder(tokens.default_path())
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|", "|>", " ", " ", "foo", "BAR", "É", "é", "漢", "\n", ".", ","]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
+
+
 def test_tokens_are_the_tokenizers():
     e = tokens.encoder(tokens.default_path())
     want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in ODD]
