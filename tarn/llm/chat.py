@@ -1,6 +1,7 @@
 """Chat formatting in budgeted windows.
 
-Turn token counts add up to prefix sums; a window is a span of whole turns whose sum fits the budget. Each window
+Token counts of formatted turns, marks and escapes included, add up to prefix sums; a window is a span of whole turns
+whose sum fits the budget. Each window
 repeats the conversation's system turn and a limited history of the turns before it; repeated turns are out of
 the loss, so each assistant text is a target once. Turns are marked by control strings, which texts can't contain:
 they are escaped, and read back exactly.
@@ -55,13 +56,16 @@ def windows(conversations: DataFrame, budget: int = 2048, history_tokens: int =
     """Formatted windows of conversations (conv_id, turn, role, text), in order within each conversation.
 
     A window takes as many further turns as fit the budget after the system turn (the first, if its role is
-    system) and the repeated history: the latest up to history_turns turns of at most history_tokens together. A
-    turn that alone exceeds the budget has its own window, whole. `repeated` turns at a window's start are repeats;
-    `loss` has the spans of assistant texts that are targets, in code points of the escaped text.
-
-    Null role or text: empty. Rows with a null conv_id are one conversation, null turns come first; rows of the
-    same turn are ordered by role and text; repeated rows stay. Other columns are ignored. Of a conversation, a task
-    holds one window and its history, never all turns.
+    system) and the repeated history: the latest up to history_turns turns of at most history_tokens together. What
+    counts are the ids of the text as it is written; turns end with a line break, over which the tokenizer joins nothing,
+    so turns' counts add up to the window's. A turn that exceeds the budget behind the system turn has a window with
+    that turn alone, whole. `repeated` turns at a window's start are repeats; `loss` has the spans of assistant texts
+    that are targets, in code points of the escaped text.
+
+    Null role or text: empty. A row with a null conv_id is a conversation of its own. Null turns come first; rows of
+    the same turn are ordered by role and text; repeated rows stay. Other columns are ignored. Of a conversation, a task
+    holds one window and its history, never all turns; a conversation is one task's, as its digests and its windows need its
+    turns in order.
     """
     path = tokenizer or default_path()
 
@@ -107,19 +111,22 @@ def windows(conversations: DataFrame, budget: int = 2048, history_tokens: int =
                 self.sum += cost
                 return done
 
+        names = [x.split()[0] for x in ("conv_id", "window", "repeated", "text", "loss")]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
+
         def batch_of(rows):
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], [x.split()[0] for x in ("conv_id", "window", "repeated", "text", "loss")])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        now, rows, size = None, [], 0
+        now, rows = None, []
         for b in batches:
             convs, roles, bodies = (b.column(k).to_pylist() for k in range(3))
-            for conv, role, body, raw in zip(convs, roles, bodies, enc.encode([f"{r} {t}" for r, t in zip(roles, bodies, strict=True)]), strict=True):
-                if now is None or now.conv != conv:
+            turns = [marked(r, t)[0] for r, t in zip(roles, bodies, strict=True)]
+            for conv, role, body, raw in zip(convs, roles, bodies, enc.encode(turns), strict=True):
+                if now is None or now.conv != conv or conv is None:
                     if now:
                         rows.append(now.close())
                     now = Open(conv)
-                if done := now.add(role, body, len(raw) // 4 + 3):
+                if done := now.add(role, body, len(raw) // 4):
                     rows.append(done)
                 if len(rows) >= 1000:
                     yield batch_of(rows)
@@ -129,15 +136,15 @@ def windows(conversations: DataFrame, budget: int = 2048, history_tokens: int =
         if rows:
             yield batch_of(rows)
 
-    c = conversations.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("turn").cast("bigint").alias("turn")
-    )
-    c = c.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    c = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), text("role"), text("text"), F.col("turn").cast("bigint").alias("turn"))
+    spread = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))  # such rows needn't meet
+    c = c.repartition(F.col("conv_id"), spread).sortWithinPartitions("conv_id", "turn", "role", "text")
     return c.select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """A row per conversation of windows(): what its formatted text says.
+    """A row per conversation of windows(), which begins with window 0: what its formatted text says.
 
     n_turns and turns_sha256 leave repeats out; loss_chars and loss_sha256 are of the text under the loss spans,
     unescaped; formatted_chars counts all windows; n_windows. formatted must come straight from windows(), whose
@@ -150,12 +157,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in schema.split(", ")]
 
         def row(s):
-            return {"conv_id": s["conv"], "n_turns": s["n"], "turns_sha256": s["turns"].hexdigest(), "loss_chars": s["chars"], "loss_sha256": s["loss"].hexdigest(), "formatted_chars": s["formatted"], "n_windows": s["windows"]}
+            digests = {"turns_sha256": s["turns"].hexdigest(), "loss_sha256": s["loss"].hexdigest()}
+            return {"conv_id": s["conv"], "n_turns": s["n"], "loss_chars": s["chars"], "formatted_chars": s["formatted"], "n_windows": s["windows"], **digests}
 
         types = pa.schema([(n, pa.string() if n.endswith("sha256") else pa.int64()) for n in names])
         for b in batches:
             for w in b.to_pylist():
-                if now is None or now["conv"] != w["conv_id"]:
+                if now is None or w["window"] == 0:
                     if now:
                         rows.append(row(now))
                     now = {"conv": w["conv_id"], "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "chars": 0, "formatted": 0, "windows": 0}

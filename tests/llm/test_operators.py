@@ -133,6 +133,28 @@ def test_chat(spark):
     assert chat.read_back(chat.windows(df.limit(0))).collect() == []
 
 
+def test_chat_windows_keep_to_the_budget(spark):
+    rng = np.random.default_rng(8)
+    odd = ["<|im_end|>", "<|", "\\", "plain words", "é漢", "\n", " "]
+    rows = []
+    for conv in range(40):
+        rows += [(conv, 0, "system", "be kind <|im_start|>")] if conv % 2 else []
+        rows += [(conv, k, "assistant" if k % 2 else "user", " ".join(rng.choice(odd, rng.integers(0, 30)))) for k in range(1, int(rng.integers(2, 30)))]
+    rows += [(100, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(3000)] + [(101, 0, "user", "long " * 3000), (101, 1, "assistant", "short")]
+    rows += [(None, k % 2, "user", f"none {k}") for k in range(5)] * 2
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    windows = chat.windows(df, budget=256, history_tokens=100).collect()
+    e = tokens.encoder(tokens.default_path())
+    several = 0
+    for w in windows:
+        own = len(chat.parsed(w.text)) - w.repeated
+        several += own > 1
+        assert own >= 1 and (own == 1 or len(e.tokenizer.encode(w.text, add_special_tokens=False).ids) <= 256)
+    assert several > 50
+    got = chat.read_back(chat.windows(df, budget=256, history_tokens=100)).collect()
+    assert Counter((r.conv_id, r.n_turns) for r in got) == Counter({**{(c, n): 1 for c, n in Counter(r[0] for r in rows if r[0] is not None).items()}, (None, 1): 10})
+
+
 def test_warc(spark):
     pages = [(1, "http://a", "same"), (2, None, "same"), (3, "http://c\r\n", None), (None, "u", "same"), (4, "http://d", "é" * 5000), (5, "http://e", ""), (6, "x", "only")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id bigint, url string, html string, bundle string")
