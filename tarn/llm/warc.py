@@ -80,12 +80,18 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = 256 * 1024,
     The payload is html in UTF-8, null: empty. Of rows with equal payloads of at least least_payload bytes, those
     with the largest page_id are responses and the others revisit it (null ids are the smallest; rows that repeat the
     largest id are all responses); smaller payloads are always responses. Other columns are ignored.
-    A task writes its bundle under its own name and then renames it, so a repeated task leaves one whole file.
+    Records are sorted, and each attempt of a task writes a bundle of its own name, which its rows of the index give. So
+    an attempt that is repeated, or lost with its executor, never changes a bundle that the index knows; what it
+    left stays unnamed (see forget_unnamed()).
     """
-    p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     p = p.withColumn("sha1", F.sha1("payload")).withColumn("size", F.length("payload"))
-    copies = p.where(F.col("size") >= least_payload).groupBy("sha1", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1").select("sha1", "size", "first", F.lit(True).alias("copy"))
-    p = p.join(copies, ["sha1", "size"], "left").select("page_id", "url", "payload", "sha1", (F.coalesce("copy", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"), "first")
+    copies = p.where(F.col("size") >= least_payload).groupBy("sha1", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("first"))
+    copies = copies.where("n > 1").select("sha1", "size", "first", F.lit(True).alias("copy"))
+    revisit = F.coalesce("copy", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    p = p.join(copies, ["sha1", "size"], "left").select("page_id", "url", "payload", "sha1", revisit.alias("revisit"), "first")
+    p = p.sortWithinPartitions("sha1", "page_id", "url")
     names = [x.split()[0] for x in INDEX.split(", ")]
 
     def run(batches):
@@ -94,8 +100,7 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = 256 * 1024,
         out, pack = None, zstandard.ZstdCompressor(level=level)
         fs, root = file_system(folder)
         task = TaskContext.get()
-        bundle = f"bundle-{task.partitionId():06d}.warc.zst"
-        part = f"{root}/_{bundle}.{task.taskAttemptId()}"
+        bundle = f"bundle-{task.partitionId():06d}-{task.taskAttemptId()}.warc.zst"
         frames, open_frame, open_rows, rows, size = [], bytearray(), [], [], 0
 
         def close():
@@ -117,7 +122,7 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = 256 * 1024,
             for page_id, url, payload, sha1, revisit, first in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if out is None:
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(part)
+                    out = fs.open_output_stream(f"{root}/{bundle}", compression=None)
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 data = record(page_id, url, digest, b"" if revisit else payload, len(payload), (first,) if revisit else None)
                 open_rows.append((page_id, len(open_frame), len(data)))
@@ -133,12 +138,22 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = 256 * 1024,
         table = b"".join(struct.pack("<II", *f) for f in frames)
         out.write(struct.pack("<II", SKIPPABLE, len(table) + 9) + table + struct.pack("<IBI", len(frames), 0, SEEKABLE))
         out.close()
-        fs.move(part, f"{root}/{bundle}")
         yield batch()
 
     return written(p.mapInArrow(run, INDEX), "warc-index")
 
 
+def forget_unnamed(index: DataFrame, folder: str) -> int:
+    """Deletes the bundles below folder that the index doesn't name, left by lost attempts; how many. No writer may be at work there."""
+    fs, root = file_system(folder)
+    named = {r[0] for r in index.select("bundle").distinct().collect()}  # a name for each task
+    found = [f.path for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".warc.zst")]
+    lost = [f for f in found if f.rsplit("/", 1)[-1] not in named]
+    for f in lost:
+        fs.delete_file(f)
+    return len(lost)
+
+
 def seek_table(f) -> list[tuple[int, int, int]]:
     """(place, packed bytes, bytes) of each frame of an open bundle, from its footer."""
     size = f.size()
