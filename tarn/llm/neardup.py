@@ -3,7 +3,8 @@
 A document's set has its distinct five-word shingles. Its signature has CHUNKS x WIDTH symbols of 16 bits, the
 minima of as many hashes. By pigeonhole, of two signatures with fewer than 2 x CHUNKS different symbols some chunk
 differs in one symbol at most; so a document is filed under each chunk with each one of its symbols left out, and
-all pairs under that distance meet in a bucket. Links are confirmed on the full sets.
+all pairs under that distance, the threshold that is guaranteed, meet in a bucket. Many pairs beyond it meet too; those up
+to MOST_DIFFERENT symbols are taken as well. Links are confirmed on the full sets.
 
 Documents of equal sets are one class, joined to its smallest id; only such representatives are filed. In a bucket,
 first every member is compared with its smallest. Buckets in which members of different components are left then
@@ -35,8 +36,8 @@ LEAST_PERCENT = 75
 LARGE = 5000
 #: Documents whose full sets a task holds at once.
 HELD = 5000
-#: Texts are hashed in groups of so many.
-GROUP = 500
+#: Texts are hashed in groups of at most so many, and of about so many bytes; a longer text is a group of its own.
+GROUP, GROUP_BYTES = 500, 2_000_000
 _MIX = np.random.default_rng(20240229)
 _A = _MIX.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _MIX.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -50,8 +51,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, words: int = 5):
     """For each text the sorted distinct 64-bit hashes of its shingles; none for a null text or one without words."""
-    for at in range(0, len(column), GROUP):
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.slice(at, GROUP), "")))
+    ends = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)), dtype="i8")]
+    at = 0
+    while at < len(column):
+        start, at = at, max(at + 1, min(at + GROUP, int(np.searchsorted(ends, ends[at] + GROUP_BYTES, "right")) - 1))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.slice(start, at - start), "")))
         flat, bounds = lists.flatten(), np.asarray(lists.offsets).astype("i8")
         bounds = bounds - bounds[0]
         code = flat.dictionary_encode()
@@ -100,6 +104,11 @@ def chunk_keys(sigs: np.ndarray) -> np.ndarray:
     return out.reshape(n, SYMBOLS)
 
 
+def small(b: pa.RecordBatch, rows: int = GROUP):
+    """The batch b in parts, so that what is made of a part stays small."""
+    return (b.slice(k, rows) for k in range(0, len(b), rows))
+
+
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class (a digest of the set) and sig of every document."""
 
@@ -120,7 +129,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())], ["id", "items"])
+            for part in small(b):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], ["id", "items"])
 
     return docs.mapInArrow(run, "id bigint, items binary")
 
@@ -187,10 +197,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "items_a", "items_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def block_of(column: str, blocks: int):
+    return F.pmod(F.xxhash64(column), F.lit(blocks))
+
+
 def compared(rows: DataFrame, blocks: int) -> DataFrame:
     """(block, id, others): members of a bucket of another component than id's, of near signatures and like sizes.
 
-    rows: key, n (of the bucket), comp, id, sig, size. others are of one block, by hash. A pair is found under the
+    rows: key, n (of the bucket), comp, id, sig, size. others are of one block of block_of(). A pair is found under the
     first chunk alone that brings it together. A task streams slices of buckets; it holds one, of 2 * LARGE members at most, about.
     """
 
@@ -200,7 +214,7 @@ def compared(rows: DataFrame, blocks: int) -> DataFrame:
         def found():
             if len(members) < 2:
                 return
-            comp, ids, size, part = (np.array([m[k] for m in members], "i8") for k in (0, 1, 3, 4))
+            comp, ids, size, part, home = (np.array([m[k] for m in members], "i8") for k in (0, 1, 3, 4, 5))
             sig = np.frombuffer(b"".join(m[2] for m in members), "<u2").reshape(len(members), SYMBOLS)
             own = int(np.flatnonzero(chunk_keys(sig[:1])[0].view("i8") == slice_[0])[0])
             chunk, skip = divmod(own, WIDTH)
@@ -223,8 +237,8 @@ def compared(rows: DataFrame, blocks: int) -> DataFrame:
                         keep = (by_chunk.sum(axis=1) <= MOST_DIFFERENT) & ((by_chunk <= 1).argmax(axis=1) == chunk)
                         if skip:
                             keep &= by_chunk[:, chunk] == 1
-                        for one, other in zip(ids[a[keep]].tolist(), ids[b[keep]].tolist(), strict=True):
-                            near[one, other % blocks].append(other)
+                        for one, other, block in zip(ids[a[keep]].tolist(), ids[b[keep]].tolist(), home[b[keep]].tolist(), strict=True):
+                            near[one, block].append(other)
 
         def batch():
             cols = ([k[1] for k in near], [k[0] for k in near], list(near.values()))
@@ -233,7 +247,7 @@ def compared(rows: DataFrame, blocks: int) -> DataFrame:
 
         near: dict = defaultdict(list)
         for b in batches:
-            for key, low, high, *m in zip(*(b.column(x).to_pylist() for x in range(8)), strict=True):
+            for key, low, high, *m in zip(*(b.column(x).to_pylist() for x in range(9)), strict=True):
                 if (key, low, high) != slice_:
                     found()
                     if len(near) >= 20_000:
@@ -247,7 +261,7 @@ def compared(rows: DataFrame, blocks: int) -> DataFrame:
     n = F.ceil(F.col("n") / LARGE).cast("int")
     part = F.pmod(F.xxhash64("id"), n).cast("int")
     d = rows.withColumn("part", part).withColumn("to", F.explode(F.sequence(F.lit(0), n - 1)))
-    d = d.select("key", F.least("part", "to").alias("low"), F.greatest("part", "to").alias("high"), "comp", "id", "sig", "size", "part")
+    d = d.select("key", F.least("part", "to").alias("low"), F.greatest("part", "to").alias("high"), "comp", "id", "sig", "size", "part", block_of("id", blocks).alias("home"))
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by count: work grows faster than bytes
     d = d.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "comp")
     near = d.mapInArrow(run, "block bigint, id bigint, others array<bigint>")
@@ -278,7 +292,7 @@ def confirmed_blocks(near: DataFrame, sets: DataFrame, blocks: int, percent: int
                     links[1].append(ids[k])
             yield pa.RecordBatch.from_arrays([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], ["a", "b"])
 
-    some = sets.select(F.pmod("id", F.lit(blocks)).alias("block"), "id", F.lit(0).alias("kind"), "items", F.lit(None).cast("array<bigint>").alias("others"))
+    some = sets.select(block_of("id", blocks).alias("block"), "id", F.lit(0).alias("kind"), "items", F.lit(None).cast("array<bigint>").alias("others"))
     ask = near.join(sets, "id").select("block", "id", F.lit(1).alias("kind"), "items", "others")
     d = some.unionByName(ask).repartition("block").sortWithinPartitions("block", "kind")
     return d.select("block", "id", "kind", "items", "others").mapInArrow(run, "a bigint, b bigint").distinct()
@@ -301,9 +315,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = written(some.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     copies = some.join(classes.select("class", "id"), "class").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
     sigs = classes.select("id", "sig")
-    keys = filed(sigs)
+    keys = written(filed(sigs), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     buckets = written(keys.join(shared, "key"), "buckets")
+    forget(keys)
     members = buckets.select(F.col("id").alias("doc_id")).distinct()
     sets = written(full_sets(texts(docs).join(members, "doc_id", "left_semi")), "full-sets")
     pairs = buckets.select(F.col("first").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
@@ -320,7 +335,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs with one document of each component, the smallest doc_id, once; rows with a null doc_id all stay."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+    """docs with one document of each component, the smallest doc_id, once; rows with a null doc_id all stay.
+
+    Of a doc_id with several texts the one of the least hash stays; rows that agree in doc_id and text are interchangeable.
+    """
+    found = near_duplicates(docs, percent)
+    rows = found.where("doc_id is not null").groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    gone, several = rows.where("not kept").select("doc_id"), rows.where("kept and n > 1").select("doc_id")
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("one__")
+    firsts = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("one__.*")
+    return rest.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(firsts)

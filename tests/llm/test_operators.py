@@ -179,6 +179,21 @@ def test_warc(spark):
     assert warc.bundle_and_read(df.limit(0)).collect() == []
 
 
+def test_warc_attempts_leave_the_index_true(spark):
+    html = [f"page {k} " * (k % 50) for k in range(400)] + ["é" * 300_000] * 3
+    df = spark.createDataFrame([(k, f"u{k}", h) for k, h in enumerate(html)] + [(7, "u7", html[7])], "page_id bigint, url string, html string")
+    folder = common.new_path(spark, "warc-test")
+    first, second = (warc.write_bundles(df, folder, frame_bytes=4000) for _ in range(2))  # a second attempt of each task, same folder
+    key = lambda r: (r.page_id, r.payload_digest, r.record_type, r.refers_to or -1)
+    want = sorted(key(r) for r in warc.read_bundles(first, folder).collect())
+    assert len(want) == 404 and want == sorted(key(r) for r in warc.read_bundles(second, folder).collect())
+    places = lambda i: sorted((r.bundle.split("-")[1], r.frame, r.frame_at, r.record_at, r.page_id) for r in i.collect())
+    assert places(first) == places(second)  # the same bytes under another name
+    assert warc.forget_unnamed(second, folder) > 0 == warc.forget_unnamed(second, folder)
+    assert want == sorted(key(r) for r in warc.read_bundles(second, folder).collect())
+    assert Counter(r.page_id for r in warc.read_bundles(second, folder).collect())[7] == 2
+
+
 def test_toxicity(spark, docs, empty):
     clean = [(i, "the cat sat on the mat and looked at the quiet sea again number%d" % i, 0) for i in range(100, 220)]
     bad = [(i, "you are such a worthless moron and everyone here knows it number%d" % i, 1) for i in range(300, 380)]
