@@ -3,7 +3,8 @@
 Terms and their weights are learned from a bounded sample of labelled rows: whole words, and stems that many
 words begin with. The terms form a trie; its product with the Levenshtein automata of all terms is made into a
 deterministic automaton as words need it, so a word is matched in one walk, misspelled or not. Each match is
-weighed by its context: a window of words around it tells quotation and report from abuse.
+weighed by its context: a window of words around it tells quotation and report from abuse; what a quoted or reported
+match weighs is learned too.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ MARKS = "\"'`“”„«»‘’.,;:!?()[]{}<>*_-~…"
 QUOTES_OPEN, QUOTES_CLOSE = "\"“„«‘", "\"”“»’"
 #: Words that announce a report of what someone said.
 REPORTING = frozenset("said says say wrote writes quote quoted quotes quoting called reported reports term word phrase example termed dijo dice palabra cita dit mot citation sagte wort zitat".split())
+#: Weight of a match in plain speech, between quotation marks, by a reporting word, and both, before any is seen.
+PLAIN_QUOTED_TOLD = (1.0, 0.35, 0.6, 0.21)
+#: What is learned of a context counts as much as this once so many matches are in it.
+CONTEXT_MATCHES = 20
 #: Weight of a match by its edits.
 DECAY = (1.0, 0.8, 0.6)
 #: Words, and states, that a Python worker keeps at most.
@@ -143,28 +148,49 @@ class Model:
     terms: list[Term]
     bias: float = -3.0
     coef: tuple[float, ...] = (0.0, 0.0, 0.0)
+    contexts: tuple[float, ...] = PLAIN_QUOTED_TOLD
 
     def score(self, x: tuple[float, ...]) -> float:
         z = self.bias + sum(a * b for a, b in zip(self.coef, x, strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def context(words: list[str], at: int, reach: int) -> float:
-    """1 for a match in plain speech; less between quotation marks or by a reporting word."""
+def context_of(words: list[str], at: int, reach: int) -> int:
+    """Which context a match is in: 0 plain, 1 between quotation marks, 2 by a reporting word, 3 both."""
     before, after = words[max(0, at - reach) : at + 1], words[at : at + reach + 1]
     opened = any(w[0] in QUOTES_OPEN for w in before if w)
     closed = any(w.rstrip(".,;:!?")[-1:] in QUOTES_CLOSE and w.rstrip(".,;:!?")[-1:] for w in after)
     told = any(w.strip(MARKS) in REPORTING for w in (*before[:-1], *after[1:]))
-    return (0.35 if opened and closed else 1.0) * (0.6 if told else 1.0)
+    return (1 if opened and closed else 0) + (2 if told else 0)
+
+
+def context(words: list[str], at: int, reach: int, weights: tuple[float, ...] = PLAIN_QUOTED_TOLD) -> float:
+    """1 for a match in plain speech; less between quotation marks or by a reporting word."""
+    return weights[context_of(words, at, reach)]
+
+
+def context_weights(seen: list[tuple]) -> tuple[float, ...]:
+    """The contexts' weights by the log odds that a match in them is in a toxic text, against those of plain ones.
+
+    seen: (y, words, hits) of the sample's rows. Few matches leave a weight near that of PLAIN_QUOTED_TOLD.
+    """
+    rows = [sum(y == k for y, *_ in seen) for k in (0, 1)]
+    n = Counter((y, c) for y, _, hits in seen for _, _, c in hits)
+    odds = [math.log((n[1, c] + 0.5) / (n[0, c] + 0.5)) - math.log(rows[1] / rows[0]) for c in range(4)]
+    if odds[0] <= 0:
+        return PLAIN_QUOTED_TOLD
+    many = lambda c: n[0, c] + n[1, c]
+    learned = (CONTEXT_MATCHES * w + many(c) * min(1.0, max(0.0, odds[c] / odds[0])) for c, w in enumerate(PLAIN_QUOTED_TOLD))
+    return (1.0, *[x / (CONTEXT_MATCHES + many(c)) for c, x in enumerate(learned)][1:])
 
 
 class Scanner:
-    """hits(text): words of the text and (term, edits, context) of each match."""
+    """hits(text): words of the text and (term, edits, context_of) of each match."""
 
     def __init__(self, terms: list[Term], reach: int):
         self.lexicon, self.reach, self.clear = Lexicon(terms), reach, set()
 
-    def hits(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+    def hits(self, text: str | None) -> tuple[int, list[tuple[int, int, int]]]:
         words = (text or "").lower().split()
         found = {}
         for w in set(words) - self.clear:
@@ -176,11 +202,11 @@ class Scanner:
             self.clear.clear()
         if not found:
             return len(words), []
-        return len(words), [(*found[w], context(words, k, self.reach)) for k, w in enumerate(words) if w in found]
+        return len(words), [(*found[w], context_of(words, k, self.reach)) for k, w in enumerate(words) if w in found]
 
 
-def features(n_words: int, hits: list[tuple[int, int, float]], terms: list[Term]) -> tuple[float, float, float]:
-    each = [terms[t].weight * DECAY[e] * c for t, e, c in hits]
+def features(n_words: int, hits: list[tuple[int, int, int]], terms: list[Term], contexts: tuple[float, ...]) -> tuple[float, float, float]:
+    each = [terms[t].weight * DECAY[e] * contexts[c] for t, e, c in hits]
     return math.log1p(sum(each)), max(each, default=0.0), min(5.0, 100 * sum(each) / max(20, n_words))
 
 
@@ -196,13 +222,13 @@ def stems_of(words: set[str], shortest: int, longest: int) -> set[str]:
     return {w[:n] + "*" for w in words for n in range(shortest, min(longest, len(w) - 1) + 1)}
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, folds: int = 5, support: int = 5, most_terms: int = 2000, reach: int = 8) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, folds: int = 5, support: int = 5, reach: int = 8) -> Model:
     """The model of at most rows labelled documents (the documented bound) whose crc32(doc_id) mod folds isn't 0.
 
     A term is a word, or a stem of four to eight letters with more words, that at least support toxic rows hold and
-    e**3 times as many of them, in proportion, as of the others. All such terms of the sample are
-    weighed; the most_terms of largest weight stay, the only other bound. With no labelled row of either kind the model has
-    no terms and gives each text the same low score.
+    e**3 times as many of them, in proportion, as of the others. All such terms of the sample are taken, so their
+    number is bounded by rows alone. With no labelled row of either kind the model has no terms and gives each text the
+    same low score.
     """
     sample = written(labelled(docs, labels, rows, folds), "toxicity-sample")
     sizes = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
@@ -220,7 +246,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, folds: int = 5
         terms = list(n[0].keys() | n[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in n)], ["term", "outs", "ins"])
 
-    counts = sample.where("y in (0, 1)").select("text", "y").mapInArrow(counted, "term string, outs bigint, ins bigint").groupBy("term").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"))
+    counts = sample.where("y in (0, 1)").select("text", "y").mapInArrow(counted, "term string, outs bigint, ins bigint")
+    counts = counts.groupBy("term").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"))
     odd = F.log((F.col("ins") + 0.5) / (toxic + 1)) - F.log((F.col("outs") + 0.5) / (other + 1))
     found = counts.where((F.col("ins") >= support) & (odd >= 3 - 1e-9)).collect()  # of the sample's terms
     ins = {r.term: r.ins for r in found}
@@ -249,15 +276,18 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, folds: int = 5
     for t in strong:
         if t[-1] != "*" and not is_covered(t):
             chosen[t] = Term(t, False, odds[t], edits_for(len(t)))
-    terms = sorted(chosen.values(), key=lambda t: (-t.weight, t.text))[:most_terms]
+    terms = sorted(chosen.values(), key=lambda t: (-t.weight, t.text))
 
     def scan(batches):
         scanner = Scanner(terms, reach)
         for b in batches:
             rows_ = [(y, *scanner.hits(t)) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist([{"y": y, "words": n, "term": [h[0] for h in hits], "edits": [h[1] for h in hits], "ctx": [h[2] for h in hits]} for y, n, hits in rows_], pa.schema([("y", pa.int32()), ("words", pa.int64()), ("term", pa.list_(pa.int32())), ("edits", pa.list_(pa.int32())), ("ctx", pa.list_(pa.float64()))]))
+            found = [{"y": y, "words": n, "term": [h[0] for h in hits], "edits": [h[1] for h in hits], "ctx": [h[2] for h in hits]} for y, n, hits in rows_]
+            numbers = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_pylist(found, pa.schema([("y", pa.int32()), ("words", pa.int64()), ("term", numbers), ("edits", numbers), ("ctx", numbers)]))
 
-    seen = [(r.y, r.words, list(zip(r.term, r.edits, r.ctx, strict=True))) for r in sample.select("text", "y").mapInArrow(scan, "y int, words bigint, term array<int>, edits array<int>, ctx array<double>").collect()]
+    scanned = sample.select("text", "y").mapInArrow(scan, "y int, words bigint, term array<int>, edits array<int>, ctx array<int>")
+    seen = [(r.y, r.words, list(zip(r.term, r.edits, r.ctx, strict=True))) for r in scanned.collect()]  # at most rows rows
     forget(sample)
     near = (Counter(), Counter())
     for y, _, hits in seen:
@@ -266,10 +296,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, folds: int = 5
         if near[0][t, e] >= 3 and (near[1][t, e] + 0.5) / toxic < 4 * (near[0][t, e] + 0.5) / other:
             terms[t].edits = min(terms[t].edits, e - 1)
     seen = [(y, n, [h for h in hits if h[1] <= terms[h[0]].edits]) for y, n, hits in seen]
-    return fitted(np.array([features(n, hits, terms) for _, n, hits in seen]), np.array([y for y, *_ in seen], float), terms)
+    contexts = context_weights(seen)
+    return fitted(np.array([features(n, hits, terms, contexts) for _, n, hits in seen]), np.array([y for y, *_ in seen], float), terms, contexts)
 
 
-def fitted(x: np.ndarray, y: np.ndarray, terms: list[Term], ridge: float = 1.0) -> Model:
+def fitted(x: np.ndarray, y: np.ndarray, terms: list[Term], contexts: tuple[float, ...] = PLAIN_QUOTED_TOLD, ridge: float = 1.0) -> Model:
     """Logistic regression by Newton's method, coefficients not negative: a match never speaks for a text."""
     x1 = np.c_[np.ones(len(x)), x]
     w, used = np.zeros(4), np.ones(4, bool)
@@ -283,18 +314,18 @@ def fitted(x: np.ndarray, y: np.ndarray, terms: list[Term], ridge: float = 1.0)
         if (w[1:] >= 0).all():
             break
         used[1:] &= w[1:] >= 0
-    return Model(terms, float(w[0]), tuple(float(v) for v in w[1:]))
+    return Model(terms, float(w[0]), tuple(float(v) for v in w[1:]), contexts)
 
 
 def scores(docs: DataFrame, model: Model, reach: int = 8) -> DataFrame:
     """doc_id and score of every whole text; a null or empty text scores as one without matches. Rows stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_terms terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms of a bounded sample
 
     def run(batches):
         m = shared.value
         scanner = Scanner(m.terms, reach)
         for b in batches:
-            out = [m.score(features(*scanner.hits(t), m.terms)) for t in b.column(1).to_pylist()]
+            out = [m.score(features(*scanner.hits(t), m.terms, m.contexts)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     return texts(docs).mapInArrow(run, "doc_id bigint, score double")
@@ -316,7 +347,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **
         m = shared.value
         scanner = Scanner(m.terms, 8)
         for b in batches:
-            keep = [m.score(features(*scanner.hits(t), m.terms)) < threshold for t in b.column(at).to_pylist()]
+            keep = [m.score(features(*scanner.hits(t), m.terms, m.contexts)) < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -215,6 +216,15 @@ def test_toxicity(spark, docs, empty):
     assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in clean}
 
 
+def test_toxicity_holds_out_of_the_sample(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    assert len(rows) > 300 and sum(r.toxic == r.predicted for r in rows) >= 0.98 * len(rows)
+
+
 def test_line_dedup(spark, docs, empty):
     passage = "this is a long passage of many words that somebody copied from one text to the next without a change at all"
     rows = [(1, f"head one\n{passage}\nshort\ntail"), (2, f"own\nshort\n{passage}\nshort\nend"), (3, "short"), (4, None), (None, passage), (5, f"{passage}\n{passage}"), (6, f"  {passage} \nown words here"), (2, f"own\nshort\n{passage}\nshort\nend")]

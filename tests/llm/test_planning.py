@@ -155,6 +155,43 @@ def test_stems_match_beginnings():
     assert lexicon.match("loweischaft") == (0, 0) and lexicon.match("lovei") == (0, 1) and lexicon.match("lo") is None
 
 
+def brute_score(text, m, reach):
+    """The model's score with every word against every term."""
+    words, each = text.lower().split(), []
+    for k, w in enumerate(words):
+        c = toxicity.cleaned(w)
+        if not c:
+            continue
+        near = [(min(edits(t.text, c[:n]) for n in range(len(c) + 1)) if t.stem else edits(t.text, c), -t.weight, t) for t in m.terms]
+        near = [x for x in near if x[0] <= x[2].edits]
+        if near:
+            e, _, t = min(near, key=lambda x: x[:2])
+            each.append(t.weight * toxicity.DECAY[e] * toxicity.context(words, k, reach, m.contexts))
+    x = (math.log1p(sum(each)), max(each, default=0.0), min(5.0, 100 * sum(each) / max(20, len(words))))
+    return 1 / (1 + math.exp(-(m.bias + sum(a * b for a, b in zip(m.coef, x, strict=True)))))
+
+
+def test_scores_are_brute_forces():
+    rng = random.Random(5)
+    terms = [toxicity.Term("moron", False, 3.0, 1), toxicity.Term("worthless", False, 4.0, 2), toxicity.Term("idio", True, 2.5, 0), toxicity.Term("clowns", True, 3.5, 1)]
+    m = toxicity.Model(terms, -3.0, (1.0, 0.5, 0.3), (1.0, 0.5, 0.4, 0.1))
+    pool = ["moron", "m0ron", "mormon", "worthles", "wrthls", '"worthless"', "idiotic", "idio", "clownssss", "klowns", "sea", "cat", "said", "“quoted", "word”", "123", "..."]
+    scanner = toxicity.Scanner(terms, 4)
+    for _ in range(300):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randrange(0, 40)))
+        assert m.score(toxicity.features(*scanner.hits(text), m.terms, m.contexts)) == pytest.approx(brute_score(text, m, 4))
+
+
+def test_contexts_are_learned():
+    plain, quoted = (0, 0, 0), (0, 0, 1)
+    seen = [(1, 9, [plain])] * 300 + [(0, 9, [quoted])] * 300 + [(0, 9, [])] * 400
+    w = toxicity.context_weights(seen)
+    assert w[0] == 1.0 and w[1] < 0.1 and w[2:] == pytest.approx(toxicity.PLAIN_QUOTED_TOLD[2:])
+    seen = [(1, 9, [plain]), (1, 9, [quoted])] * 300 + [(0, 9, [])] * 400
+    assert toxicity.context_weights(seen)[1] > 0.9
+    assert toxicity.context_weights([(1, 9, []), (0, 9, [plain])]) == toxicity.PLAIN_QUOTED_TOLD
+
+
 def test_context_tells_quotation_from_abuse():
     plain = "you are a moron and a clown".split()
     quoted = 'he said "moron" is a rude word'.split()
