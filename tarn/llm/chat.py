@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.common import in_arrow
 from tarn.llm.tokens import default_path, encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -140,7 +141,7 @@ def windows(conversations: DataFrame, budget: int = 2048, history_tokens: int =
     c = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), text("role"), text("text"), F.col("turn").cast("bigint").alias("turn"))
     spread = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))  # such rows needn't meet
     c = c.repartition(F.col("conv_id"), spread).sortWithinPartitions("conv_id", "turn", "role", "text")
-    return c.select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    return in_arrow(c.select("conv_id", "role", "text"), run, WINDOWS)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -184,4 +185,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, types)
 
-    return formatted.mapInArrow(run, schema)
+    return in_arrow(formatted, run, schema)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -22,9 +26,11 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a folder of our own where it is unset (local runs)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or where it is unset, in local runs, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -55,6 +61,20 @@ def forget(df: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Rows go to Python workers in batches of about so many bytes, or one row: a task's memory doesn't grow with long texts.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches of BATCH_BYTES at most; a smaller bound of the session's own stays."""
+    conf, units = df.sparkSession.conf, {"": 0, "k": 10, "m": 20, "g": 30}
+    own = re.fullmatch(r"(\d+)\s*([kmg]?)b?", str(conf.get(_BATCH_CONF)).lower())
+    if not own or not 0 < int(own[1]) << units[own[2]] <= BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (bigint) and text of docs and the named columns, whatever else it has; a null text stays null."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

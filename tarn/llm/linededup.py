@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import WORD_BREAK, let, written
+from tarn.llm.common import WORD_BREAK, in_arrow, let, written
 
 KEY = "doc_id bigint, same bigint"
 LINE = {"doc_id": pa.int64(), "same": pa.int64(), "h": pa.int64(), "g": pa.int32(), "words": pa.int32(), "span": pa.int32(), "places": pa.list_(pa.int32())}
@@ -83,7 +83,7 @@ def lines(docs: DataFrame, least_words: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), LINE.values(), strict=True)], list(LINE))
 
-    return d.select("doc_id", F.col("same__").alias("same"), every.alias("every")).mapInArrow(run, f"{KEY}, h bigint, g int, words int, span int, places array<int>")
+    return in_arrow(d.select("doc_id", F.col("same__").alias("same"), every.alias("every")), run, f"{KEY}, h bigint, g int, words int, span int, places array<int>")
 
 
 def ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -213,7 +213,7 @@ def deletions(all_lines: DataFrame, least_words: int) -> DataFrame:
         if out:
             yield batch()
 
-    return rows.repartition("doc_id", "same").sortWithinPartitions("doc_id", "same").mapInArrow(run, f"{KEY}, places array<int>")
+    return in_arrow(rows.repartition("doc_id", "same").sortWithinPartitions("doc_id", "same"), run, f"{KEY}, places array<int>")
 
 
 def without_shared_lines(docs: DataFrame, least_words: int = 20) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import forget, texts, written
+from tarn.llm.common import forget, in_arrow, texts, written
 
 CHUNKS, WIDTH = 14, 5
 SYMBOLS = CHUNKS * WIDTH
@@ -121,7 +121,7 @@ def described(docs: DataFrame) -> DataFrame:
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "class", "sig"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, class binary, sig binary")
+    return in_arrow(texts(docs), run, "doc_id bigint, n_shingles bigint, class binary, sig binary")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             for part in small(b):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], ["id", "items"])
 
-    return docs.mapInArrow(run, "id bigint, items binary")
+    return in_arrow(docs, run, "id bigint, items binary")
 
 
 def filed(reps: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def filed(reps: DataFrame) -> DataFrame:
                 keys = chunk_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(len(part), SYMBOLS))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view("i8")), pa.array(np.repeat(ids, SYMBOLS))], ["key", "id"])
 
-    return reps.select("id", "sig").mapInArrow(run, "key bigint, id bigint")
+    return in_arrow(reps.select("id", "sig"), run, "key bigint, id bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             yield b.filter(pa.array((x != y).sum(axis=1) <= MOST_DIFFERENT)).select(["a", "b"])
 
     pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
+    return in_arrow(pairs.select("a", "b", "sig_a", "sig_b"), run, "a bigint, b bigint")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,7 +194,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     side = lambda k: sets.select(F.col("id").alias(k), F.col("items").alias(f"items_{k}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "items_a", "items_b").mapInArrow(run, "a bigint, b bigint")
+    return in_arrow(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "items_a", "items_b"), run, "a bigint, b bigint")
 
 
 def block_of(column: str, blocks: int):
@@ -264,7 +264,7 @@ def compared(rows: DataFrame, blocks: int) -> DataFrame:
     d = d.select("key", F.least("part", "to").alias("low"), F.greatest("part", "to").alias("high"), "comp", "id", "sig", "size", "part", block_of("id", blocks).alias("home"))
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by count: work grows faster than bytes
     d = d.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "comp")
-    near = d.mapInArrow(run, "block bigint, id bigint, others array<bigint>")
+    near = in_arrow(d, run, "block bigint, id bigint, others array<bigint>")
     return near.groupBy("block", "id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
 
 
@@ -295,7 +295,7 @@ def confirmed_blocks(near: DataFrame, sets: DataFrame, blocks: int, percent: int
     some = sets.select(block_of("id", blocks).alias("block"), "id", F.lit(0).alias("kind"), "items", F.lit(None).cast("array<bigint>").alias("others"))
     ask = near.join(sets, "id").select("block", "id", F.lit(1).alias("kind"), "items", "others")
     d = some.unionByName(ask).repartition("block").sortWithinPartitions("block", "kind")
-    return d.select("block", "id", "kind", "items", "others").mapInArrow(run, "a bigint, b bigint").distinct()
+    return in_arrow(d.select("block", "id", "kind", "items", "others"), run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

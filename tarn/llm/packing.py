@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ranked, texts, written
+from tarn.llm.common import in_arrow, ranked, texts, written
 from tarn.llm.tokens import default_path, encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names)
 
-    return texts(docs, file.cast("string").alias("file__"), row.cast("bigint").alias("row__")).mapInArrow(run, schema)
+    return in_arrow(texts(docs, file.cast("string").alias("file__"), row.cast("bigint").alias("row__")), run, schema)
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
@@ -202,7 +202,7 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
                 seq[here], at[here] = (share << 24) + group[k], offset[k] + j * n
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names[:5]), pa.array(seq), pa.array(at)], names)
 
-    return parts.select(*names[:5], "rank__").mapInArrow(run, schema)
+    return in_arrow(parts.select(*names[:5], "rank__"), run, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, order: tuple[Column, Column] | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are encoded in groups of about so many characters, their words in groups of so many.
-GROUP_CHARS, GROUP_WORDS = 12_000_000, 500
+GROUP_CHARS, GROUP_WORDS = 8_000_000, 500
 #: Signs beyond Latin, a capital that lower-cases to two signs, and what control strings begin with, which the
 #: tokenizer knows by their case: texts with them aren't lower-cased here.
 OTHER = re.compile("[^\\x00-\\u024f]|\\u0130|<\\|")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import forget, texts, written
+from tarn.llm.common import forget, in_arrow, texts, written
 
 #: Signs that stand for letters, and the letters.
 LEET = str.maketrans("013457@$!|", "oieastasil")
@@ -34,7 +34,7 @@ CONTEXT_MATCHES = 20
 #: Weight of a match by its edits.
 DECAY = (1.0, 0.8, 0.6)
 #: Words, and states, that a Python worker keeps at most.
-KEPT_WORDS, KEPT_STATES = 400_000, 100_000
+KEPT_WORDS, KEPT_STATES = 200_000, 20_000
 RUN = re.compile(r"(.)\1{2,}")
 
 
@@ -246,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, folds: int = 5
         terms = list(n[0].keys() | n[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in n)], ["term", "outs", "ins"])
 
-    counts = sample.where("y in (0, 1)").select("text", "y").mapInArrow(counted, "term string, outs bigint, ins bigint")
+    counts = in_arrow(sample.where("y in (0, 1)").select("text", "y"), counted, "term string, outs bigint, ins bigint")
     counts = counts.groupBy("term").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"))
     odd = F.log((F.col("ins") + 0.5) / (toxic + 1)) - F.log((F.col("outs") + 0.5) / (other + 1))
     found = counts.where((F.col("ins") >= support) & (odd >= 3 - 1e-9)).collect()  # of the sample's terms
@@ -286,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, folds: int = 5
             numbers = pa.list_(pa.int32())
             yield pa.RecordBatch.from_pylist(found, pa.schema([("y", pa.int32()), ("words", pa.int64()), ("term", numbers), ("edits", numbers), ("ctx", numbers)]))
 
-    scanned = sample.select("text", "y").mapInArrow(scan, "y int, words bigint, term array<int>, edits array<int>, ctx array<int>")
+    scanned = in_arrow(sample.select("text", "y"), scan, "y int, words bigint, term array<int>, edits array<int>, ctx array<int>")
     seen = [(r.y, r.words, list(zip(r.term, r.edits, r.ctx, strict=True))) for r in scanned.collect()]  # at most rows rows
     forget(sample)
     near = (Counter(), Counter())
@@ -328,7 +328,7 @@ def scores(docs: DataFrame, model: Model, reach: int = 8) -> DataFrame:
             out = [m.score(features(*scanner.hits(t), m.terms, m.contexts)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, score double")
+    return in_arrow(texts(docs), run, "doc_id bigint, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, **options) -> DataFrame:
@@ -350,4 +350,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **
             keep = [m.score(features(*scanner.hits(t), m.terms, m.contexts)) < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

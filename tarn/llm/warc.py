@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import new_path, written
+from tarn.llm.common import in_arrow, new_path, written
 
 INDEX = "page_id bigint, bundle string, frame bigint, frame_at bigint, frame_bytes bigint, record_at bigint, record_bytes bigint"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
@@ -140,7 +140,7 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = 256 * 1024,
         out.close()
         yield batch()
 
-    return written(p.mapInArrow(run, INDEX), "warc-index")
+    return written(in_arrow(p, run, INDEX), "warc-index")
 
 
 def forget_unnamed(index: DataFrame, folder: str) -> int:
@@ -213,7 +213,7 @@ def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by count: the index's bytes say nothing of the bundles'
-    return frames.repartition(parts, "bundle").sortWithinPartitions("bundle", "frame").mapInArrow(run, RECORDS)
+    return in_arrow(frames.repartition(parts, "bundle").sortWithinPartitions("bundle", "frame"), run, RECORDS)
 
 
 def bundle_and_read(pages: DataFrame, **options) -> DataFrame:
