@@ -22,7 +22,8 @@ def aggregate(name: str, arg: E | None, distinct: bool, separator: str, row: Col
             kind = "int" if arg.kind == "int" else "dbl"
             total = F.sum_distinct(n) if distinct else F.sum(n)
             return E(kind, F.coalesce(total, F.lit(0).cast("bigint" if kind == "int" else "double")))
-        return E("dbl", F.sum_distinct(n) / F.count_distinct(n) if distinct else F.avg(n.cast("double")))
+        mean = F.try_divide(F.sum_distinct(n), F.count_distinct(n)) if distinct else F.avg(n.cast("double"))
+        return E("dbl", F.when(F.count(arg.col) == 0, F.lit(0.0)).otherwise(mean))  # of no values 0, of none that is a number an error
     if name in ("MIN", "MAX"):
         f = F.min if name == "MIN" else F.max
         if arg.kind == "term":  # numbers by value; else by text

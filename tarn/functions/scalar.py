@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.terms import IRIS, LANG_STRING, XSD, E, box, boxed, compared, ebv, equal, is_num, joint, lexical, literal_text, null, num, same_term, string, widened
@@ -44,10 +46,23 @@ def arithmetic(op: str) -> Function:
     return run
 
 
-def numeric(f: Callable[[Column], Column], keep: bool = True) -> Function:
+def numeric(f: Callable[[Column], Column]) -> Function:
     def run(args: list[E]) -> E:
         a = args[0]
-        return whole(f(a.col)) if keep and a.kind == "int" else double(f(num(a).cast("double")))
+        return whole(f(a.col)) if a.kind == "int" else double(f(num(a).cast("double")))
+
+    return run
+
+
+def to_whole(f: Callable[[Column], Column]) -> Function:
+    """A rounding of doubles; whole numbers, and doubles from 2**53 on, which have no fraction, stay as they are."""
+
+    def run(args: list[E]) -> E:
+        a = args[0]
+        if a.kind == "int":
+            return whole(a.col)
+        x = num(a).cast("double")
+        return double(F.when(F.abs(x) < 2.0**53, f(x).cast("double")).otherwise(x))
 
     return run
 
@@ -126,34 +141,72 @@ def langmatches(args: list[E]) -> E:
     return boolean(F.when(r == "*", t != "").otherwise((t == r) | t.startswith(F.concat(r, F.lit("-")))))
 
 
-def flags_of(args: list[E], at: int) -> str:
-    if len(args) <= at:
-        return ""
-    if not (args[at].const and args[at].const[0] == "lit"):
-        raise UnsupportedOperation("flags of a pattern must be constant")
-    return args[at].const[1]
+def fixed_text(e: E) -> str | None:
+    return e.const[1] if e.const and e.const[0] == "lit" else None
+
+
+def java_pattern(text: str):
+    """The JVM's compiled pattern; None where it is malformed."""
+    try:
+        return SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(text)
+    except Py4JJavaError:
+        return None
 
 
-def pattern_of(e: E, flags: str) -> Column:
-    p = literal_text(e)
-    if "q" in flags:
-        p = F.concat(F.lit("\\Q"), p, F.lit("\\E"))
-    inline = "".join(f for f in "imsx" if f in flags)
-    return F.concat(F.lit(f"(?{inline})"), p) if inline else p
+def pattern_of(args: list[E], at: int = 3) -> tuple[Column, str | None]:
+    """The pattern, args[1], with its flags, args[at]: a column (null where it can't be one) and, if both are constant, its text."""
+    flags = args[at] if len(args) > at else E("str", F.lit(""), const=("lit", "", XSD + "string", ""))
+    p, f = fixed_text(args[1]), fixed_text(flags)
+    if p is not None and f is not None:
+        if set(f) - set("imsxqg"):
+            return F.lit(None).cast("string"), None
+        inline = "".join(c for c in "imsx" if c in f)
+        text = (f"(?{inline})" if inline else "") + (f"\\Q{p}\\E" if "q" in f else p)
+        return (F.lit(text), text) if java_pattern(text) else (F.lit(None).cast("string"), None)
+    of, marks = literal_text(args[1]), literal_text(flags)
+    of = F.when(marks.contains("q"), F.concat(F.lit("\\Q"), of, F.lit("\\E"))).otherwise(of)
+    inline = F.regexp_replace(marks, "[qg]", "")
+    return F.when(marks.rlike("^[imsxqg]*$"), F.when(inline == "", of).otherwise(F.concat(F.lit("(?"), inline, F.lit(")"), of))), None
 
 
 def regex(args: list[E]) -> E:
-    return boolean(F.regexp_like(literal_text(args[0]), pattern_of(args[1], flags_of(args, 2))))
+    """A malformed constant pattern or flag is an error; a malformed one of a row's own stops the query, as the engine can't catch it."""
+    return boolean(F.regexp_like(literal_text(args[0]), pattern_of(args, 2)[0]))
+
+
+def replacement_of(text: str, groups: int) -> str | None:
+    """The JVM's form of a replacement: references to groups that aren't there are empty; None where it is malformed."""
+    out, rest = "", text
+    while rest:
+        if m := re.match(r"\$(\d+)", rest):
+            digits = m[1]
+            while len(digits) > 1 and int(digits) > groups:
+                digits = digits[:-1]
+            out += f"${digits}" if int(digits) <= groups else ""
+            rest = rest[1 + len(digits) :]
+        elif m := re.match(r"\\[\\$]|[^\\$]+", rest):
+            out += m[0]
+            rest = rest[len(m[0]) :]
+        else:
+            return None
+    return out
 
 
 def replace(args: list[E], first_only: bool = False) -> E:
-    flags = flags_of(args, 3)
-    v, p, r = literal_text(args[0]), pattern_of(args[1], flags.replace("g", "")), literal_text(args[2])
-    if not first_only or "g" in flags:
-        return like(args[0], F.regexp_replace(v, p, r))
-    m = F.regexp_substr(v, p)
-    at = F.regexp_instr(v, p)
-    return like(args[0], F.when(m.isNull() & v.isNotNull(), v).otherwise(F.overlay(v, F.regexp_replace(m, p, r), at, F.length(m))))
+    v, r = literal_text(args[0]), literal_text(args[2])
+    p, text = pattern_of(args)
+    if text is not None and fixed_text(args[2]) is not None:
+        fixed = replacement_of(fixed_text(args[2]), java_pattern(text).matcher("").groupCount())
+        if fixed is None:
+            return like(args[0], F.lit(None).cast("string"))
+        r = F.lit(fixed)
+    every = F.regexp_replace(v, p, r)
+    if not first_only:
+        return like(args[0], every)
+    m, at = F.regexp_substr(v, p), F.regexp_instr(v, p)
+    first = F.when(m.isNull() & v.isNotNull(), v).otherwise(F.overlay(v, F.regexp_replace(m, p, r), at, F.length(m)))
+    flags = literal_text(args[3]) if len(args) > 3 else F.lit("")
+    return like(args[0], F.when(flags.contains("g"), every).otherwise(first))
 
 
 def before(args: list[E]) -> E:
@@ -169,8 +222,14 @@ def after(args: list[E]) -> E:
 
 
 def substr(args: list[E]) -> E:
-    v, start = literal_text(args[0]), num(args[1]).cast("int")
-    return like(args[0], F.substr(v, start, num(args[2]).cast("int")) if len(args) > 2 else F.substr(v, start))
+    """Signs at places p with start <= p < start + length, both rounded; places before the first use up length."""
+    v, start = literal_text(args[0]), F.floor(num(args[1]).cast("double") + 0.5)
+    first = F.greatest(start, F.lit(1)).cast("int")
+    if len(args) == 2:
+        return like(args[0], F.when(start.isNotNull(), F.substr(v, first)))
+    end = start + F.floor(num(args[2]).cast("double") + 0.5)
+    size = F.least(F.greatest(end - first, F.lit(0)), F.lit(1 << 30)).cast("int")
+    return like(args[0], F.when(start.isNotNull() & end.isNotNull(), F.substr(v, first, size)))
 
 
 def encode(args: list[E]) -> E:
@@ -231,6 +290,10 @@ def bnode(args: list[E]) -> E:
     return E("bnode", literal_text(args[0]) if args else F.concat(F.lit("b"), F.replace(F.uuid(), F.lit("-"), F.lit(""))))
 
 
+#: The lexical form of xsd:dateTime, with offsets of hours and minutes with or without a colon.
+DATE_TIME = r"^\d{4}-\d\d-\d\dT([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]\d\d:?\d\d)?$"
+
+
 def cast(to: str) -> Function:
     def run(args: list[E]) -> E:
         a = args[0]
@@ -245,7 +308,9 @@ def cast(to: str) -> Function:
         if to == "bool":
             t = literal_text(a)
             return boolean(F.when(is_num(a), num(a) != 0).when(t.isin("true", "1"), F.lit(True)).when(t.isin("false", "0"), F.lit(False)))
-        return E("term", boxed("l", literal_text(a), F.lit(XSD + "dateTime"), F.lit("")))
+        t = F.trim(lexical(a) if a.kind == "dt" else literal_text(a))
+        real = t.rlike(DATE_TIME) & F.substring(t, 1, 10).try_cast("date").isNotNull()
+        return E("term", F.when(real, boxed("l", t, F.lit(XSD + "dateTime"), F.lit(""))))
 
     return run
 
@@ -306,9 +371,9 @@ FUNCTIONS: dict[str, Function] = {
     "regex": regex,
     "replace": replace,
     "abs": numeric(F.abs),
-    "round": numeric(rounded),
-    "ceil": numeric(F.ceil),
-    "floor": numeric(F.floor),
+    "round": to_whole(rounded),
+    "ceil": to_whole(F.ceil),
+    "floor": to_whole(F.floor),
     "rand": lambda a: double(F.rand()),
     "now": lambda a: E("dt", F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")),
     "year": moment("year"),
@@ -363,7 +428,7 @@ def evaluated(name: str, args: list[E], compat: bool = False) -> E:
     if name == "replace" and compat:
         return replace(args, first_only=True)
     if name not in FUNCTIONS:
-        raise UnsupportedOperation(f"unsupported SPARQL operation: {name}")
+        raise UnsupportedOperation(f"there is no function or operator {name}")
     if any(a.kind == "null" for a in args) and name not in ("coalesce", "bound", "&&", "||", "if", "in", "notin"):
         return boolean(F.lit(None).cast("boolean")) if name in ("=", "!=", "<", ">", "<=", ">=", "regex", "contains", "strstarts", "strends") else null()
     return FUNCTIONS[name](args)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 from tarn.operators.lineage import cut
 
 
-def closure(pairs: DataFrame, kind: str, start: Column | None, end: Column | None, nodes: Callable[[], DataFrame]) -> DataFrame:
+def closure(
+    pairs: DataFrame, kind: str, start: Column | None, end: Column | None, nodes: Callable[[], DataFrame], starts: DataFrame | None = None, ends: DataFrame | None = None
+) -> DataFrame:
     """Distinct pairs (x, y) of plus, star or opt over the step's pairs.
 
-    A known start or end seeds the search, so only what it reaches is visited; a known end alone walks backwards.
-    star and opt add each node, or the known end itself, paired with itself.
+    A known start or end, or starts or ends (x), seed the search, so only what they reach is visited; an end alone
+    walks backwards. Each round is stored once. star and opt add each node, or the known end itself, paired with itself.
     """
     pairs = pairs.distinct()
     if kind == "opt":
@@ -24,20 +27,33 @@ def closure(pairs: DataFrame, kind: str, start: Column | None, end: Column | Non
         if end is not None:
             out = out.where(F.col("y") == end)
         return out.unionByName(same(pairs, start, end, nodes)).distinct()
-    backwards = start is None and end is not None
-    steps = cut(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")) if backwards else pairs)
-    seed = end if backwards else start
-    new = steps if seed is None else steps.where(F.col("x") == seed)
-    seen = new = cut(new)
-    while not new.isEmpty():
-        far = new.select("x", F.col("y").alias("via")).join(steps.select(F.col("x").alias("via"), "y"), "via").select("x", "y").distinct()
-        new = cut(far.join(seen, ["x", "y"], "left_anti"))
-        seen = cut(seen.unionByName(new))
+    backwards = start is None and starts is None and (end is not None or ends is not None)
+    steps = cut(turned(pairs) if backwards else pairs)
+    seed, seeds = (end, ends) if backwards else (start, starts)
+    new = steps
+    if seed is not None:
+        new = steps.where(F.col("x") == seed)
+    elif seeds is not None:
+        seeds = cut(seeds.distinct())
+        new = steps.join(seeds, "x", "left_semi")
+    onward = steps.select(F.col("x").alias("via"), "y")
+    rounds = [cut(new)]
+    while not rounds[-1].isEmpty():
+        far = rounds[-1].select("x", F.col("y").alias("via")).join(onward, "via").select("x", "y").distinct()
+        rounds.append(cut(far.join(reduce(DataFrame.unionByName, rounds), ["x", "y"], "left_anti")))
+    seen = reduce(DataFrame.unionByName, rounds[:-1] or rounds)
     if backwards:
-        seen = seen.select(F.col("y").alias("x"), F.col("x").alias("y"))
+        seen = turned(seen)
     elif end is not None:
         seen = seen.where(F.col("y") == end)
-    return seen if kind == "plus" else seen.unionByName(same(pairs, start, end, nodes)).distinct()
+    if kind == "plus":
+        return seen
+    every = nodes if seeds is None else lambda: nodes().join(seeds, "x", "left_semi")
+    return seen.unionByName(same(pairs, start, end, every)).distinct()
+
+
+def turned(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))
 
 
 def same(pairs: DataFrame, start: Column | None, end: Column | None, nodes: Callable[[], DataFrame]) -> DataFrame:

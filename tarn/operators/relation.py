@@ -1,13 +1,14 @@
 """Relations of solution mappings, and their algebra: joins, optional parts, unions, differences.
 
 A relation is a DataFrame with a column for each variable and what is known of it: its kind and whether each row
-binds it. Joins on variables that both sides always bind are plain equalities; a side that may leave one unbound is split into
-the rows that bind it and those that don't, so all parts stay hash joins.
+binds it. Joins of all kinds on variables that both sides always bind are plain equalities; a side that may leave one
+unbound is split into the rows that bind it and those that don't, so all parts stay hash or merge joins.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,21 +78,31 @@ def shared(a: Relation, b: Relation) -> list[str]:
     return [n for n in a.vars if n in b.vars]
 
 
+def parted(r: Relation, name: str) -> tuple[Relation, Relation]:
+    """The rows of r that bind a variable, and the others, without it."""
+    c = F.col(f"`{name}`")
+    bound = Relation(r.df.where(c.isNotNull()), r.vars | {name: replace(r.vars[name], definite=True)})
+    rest = [m for m in r.vars if m != name]
+    free = Relation(r.df.where(c.isNull()), r.vars)
+    return bound, free.keep(rest) if rest else Relation(free.df.select(F.lit(1).alias("__free")), {})
+
+
+def open_name(a: Relation, b: Relation) -> str | None:
+    """A variable of both that some row of a may leave unbound."""
+    return next((n for n in a.vars if n in b.vars and not a.vars[n].definite), None)
+
+
 def join(a: Relation, b: Relation, hint: str | None = None) -> Relation:
     """Compatible solutions of both, merged."""
     if is_unit(a):
         return b
     if is_unit(b):
         return a
+    if n := open_name(a, b):
+        return union(*(join(x, b, hint) for x in parted(a, n)))
+    if n := open_name(b, a):
+        return union(*(join(a, x, hint) for x in parted(b, n)))
     names = shared(a, b)
-    for n in names:
-        for x, y, left in ((a, b, True), (b, a, False)):
-            if not x.vars[n].definite:
-                bound = Relation(x.df.where(F.col(f"`{n}`").isNotNull()), x.vars | {n: replace(x.vars[n], definite=True)})
-                rest = [m for m in x.vars if m != n]
-                free = Relation(x.df.where(F.col(f"`{n}`").isNull()), x.vars)
-                free = free.keep(rest) if rest else Relation(free.df.select(F.lit(1).alias("__free")), {})
-                return union(join(bound, y, hint) if left else join(y, bound, hint), join(free, y, hint) if left else join(y, free, hint))
     a, b = alike(a, b, names)
     right = renamed(b, names)
     if hint:
@@ -99,39 +110,39 @@ def join(a: Relation, b: Relation, hint: str | None = None) -> Relation:
     if not names:
         df = a.df.crossJoin(right) if b.vars else a.df.crossJoin(b.df.select(F.lit(1).alias("__one")))
     else:
-        on = [F.col(f"`{n}`") == F.col(f"`{n}__r`") for n in names]
-        df = a.df.join(right, on, "inner")
+        df = a.df.join(right, equalities(names), "inner")
     vars_ = a.vars | {n: v for n, v in b.vars.items() if n not in a.vars}
     return Relation(df.select(*[F.col(f"`{n}`") for n in vars_]) if vars_ else df, vars_)
 
 
-def compatible(a: Relation, b: Relation, names: list[str]) -> Column:
-    c = F.lit(True)
-    for n in names:
-        x, y = F.col(f"`{n}`"), F.col(f"`{n}__r`")
-        one = x == y
-        if not a.vars[n].definite:
-            one = one | x.isNull()
-        if not b.vars[n].definite:
-            one = one | y.isNull()
-        c = c & one
-    return c
+def equalities(names: list[str]) -> Column:
+    """Equality of the named columns of both sides, which rows of both bind."""
+    return reduce(lambda c, d: c & d, [F.col(f"`{n}`") == F.col(f"`{n}__r`") for n in names], F.lit(True))
 
 
 def left_join(a: Relation, b: Relation, condition=None) -> Relation:
-    """OPTIONAL: condition(relation of both) goes into the join."""
+    """OPTIONAL: condition(relation of both) goes into the join.
+
+    Where b may leave a shared variable unbound, its parts are joined one by one and the rows that match none are added.
+    """
+    if n := open_name(a, b):
+        return union(*(left_join(x, b, condition) for x in parted(a, n)))
+    if open_name(b, a):
+        found = join(a, b)
+        if condition is not None:
+            found = found.where(F.coalesce(condition(found), F.lit(False)))
+        return union(found, semi(a, b, False, condition))
     names = shared(a, b)
     a, b = alike(a, b, names)
     if not a.vars:
         a = Relation(a.df.select(F.lit(1).alias("__unit")), {})
     right = renamed(b, names)
-    on = compatible(a, b, names)
+    on = equalities(names)
     both = a.vars | {n: replace(v, definite=False) for n, v in b.vars.items() if n not in a.vars}
     if condition is not None:
         on = on & F.coalesce(condition(Relation(a.df, both)), F.lit(False))
     df = a.df.join(right, on, "left")
-    cols = [(F.coalesce(F.col(f"`{n}`"), F.col(f"`{n}__r`")) if n in names and not a.vars[n].definite else F.col(f"`{n}`")).alias(n) for n in both]
-    return Relation(df.select(*cols), both)
+    return Relation(df.select(*[F.col(f"`{n}`") for n in both]), both)
 
 
 def union(a: Relation, b: Relation) -> Relation:
@@ -151,49 +162,51 @@ def union(a: Relation, b: Relation) -> Relation:
 
 def minus(a: Relation, b: Relation) -> Relation:
     """Solutions of a without those compatible with one of b that shares a bound variable."""
+    if n := open_name(a, b):
+        return union(*(minus(x, b) for x in parted(a, n)))
+    if n := open_name(b, a):
+        bound, free = parted(b, n)
+        return minus(minus(a, bound), free)
     names = shared(a, b)
     if not names:
         return a
     a, b = alike(a, b, names)
-    right = renamed(b.keep(names), names)
-    on = compatible(a, b, names)
-    if not any(a.vars[n].definite and b.vars[n].definite for n in names):
-        some = F.lit(False)
-        for n in names:
-            some = some | (F.col(f"`{n}`").isNotNull() & F.col(f"`{n}__r`").isNotNull())
-        on = on & some
-    return Relation(a.df.join(right, on, "left_anti"), a.vars)
+    return Relation(a.df.join(renamed(b.keep(names), names), equalities(names), "left_anti"), a.vars)
 
 
 def semi(a: Relation, b: Relation, positive: bool, condition=None) -> Relation:
     """Solutions of a that some (or no) solution of b is compatible with; condition(relation of both) must hold too."""
+    if n := open_name(a, b):
+        return union(*(semi(x, b, positive, condition) for x in parted(a, n)))
+    if n := open_name(b, a):
+        bound, free = parted(b, n)
+        rest = semi(semi(a, bound, False, condition), free, positive, condition)
+        return union(semi(a, bound, True, condition), rest) if positive else rest
     names = shared(a, b)
     a, b = alike(a, b, names)
     both = a.vars | {n: v for n, v in b.vars.items() if n not in a.vars}
     right = renamed(b, names) if b.vars else b.df.select(F.lit(1).alias("__one")).limit(1)
-    on = compatible(a, b, names)
+    on = equalities(names)
     if condition is not None:
         on = on & F.coalesce(condition(Relation(a.df, both)), F.lit(False))
     return Relation(a.df.join(right, on, "left_semi" if positive else "left_anti"), a.vars)
 
 
 def marked(a: Relation, b: Relation, name: str, condition=None) -> Relation:
-    """a with a boolean column: whether some solution of b is compatible. Rows of a stay single."""
-    rows = Relation(a.df.withColumn("__row", F.monotonically_increasing_id()), a.vars)
-    if condition is None and all(a.vars[n].definite and b.vars[n].definite for n in shared(a, b)):
+    """a with a boolean variable: whether some solution of b is compatible. Rows of a stay single."""
+    if condition is None and not open_name(a, b) and not open_name(b, a):
         names = shared(a, b)
         a, b = alike(a, b, names)
         keys = b.keep(names).df.distinct() if names else b.df.select(F.lit(1).alias("__one")).limit(1)
         right = keys.select(*[F.col(f"`{n}`").alias(f"{n}__r") for n in names], F.lit(True).alias(name))
-        df = a.df.join(right, compatible(a, b, names), "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
-        return Relation(df.select(*[F.col(f"`{n}`") for n in a.vars], name), a.vars)
-    yes = semi(rows, b, True, condition).df.withColumn(name, F.lit(True))
-    no = semi(rows, b, False, condition).df.withColumn(name, F.lit(False))
-    return Relation(yes.unionByName(no).drop("__row"), a.vars)
+        df = a.df.join(right, equalities(names), "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+        return Relation(df.select(*[F.col(f"`{n}`") for n in a.vars], name), a.vars | {name: Var("bool")})
+    yes, no = (semi(a, b, holds, condition).extend(name, E("bool", F.lit(holds)), definite=True) for holds in (True, False))
+    return union(yes, no)
 
 
 def distinct(a: Relation) -> Relation:
     return Relation(a.df.distinct(), a.vars)
 
 
-__all__ = ["Relation", "Var", "alike", "compatible", "distinct", "join", "left_join", "lexical", "marked", "minus", "semi", "union", "unit"]
+__all__ = ["Relation", "Var", "alike", "distinct", "equalities", "join", "left_join", "lexical", "marked", "minus", "semi", "union", "unit"]

@@ -235,7 +235,8 @@ class Compiler:
         for e in late:
             rel, e = self.with_exists(rel, e, ctx)
             rel = rel.where(ebv(self.expr(e, rel)))
-        return Relation(rel.df.drop(*[c for c in rel.df.columns if c.startswith("__ex")]), rel.vars)
+        marks = [n for n in rel.vars if n.startswith("__ex")]
+        return Relation(rel.df.drop(*marks), {n: v for n, v in rel.vars.items() if n not in marks}) if marks else rel
 
     def open_group(self, elements: list, ctx: Context, defer: bool = False) -> tuple[Relation, list]:
         """The relation of a group, and with defer those filters that name variables from outside it."""
@@ -401,7 +402,7 @@ class Compiler:
         found = search.evaluated(self, plain, magic, ns["search"], ctx, outside) if magic else self.bgp(plain, ctx, outside)
         out = join(rel, found, hint)
         for s, path, o in paths:
-            out = join(out, self.path(s, path, o, ctx), hint)
+            out = join(out, self.path(s, path, o, ctx, out), hint)
         hidden = [n for n in out.vars if n.startswith("__hidden_")]
         return out.keep([n for n in out.vars if n not in hidden]) if hidden and len(hidden) < len(out.vars) else out
 
@@ -412,24 +413,25 @@ class Compiler:
             return ctx.graph.bgp(patterns, outside)
         return self.options.cache.evaluated(patterns, ctx.key, lambda ps: ctx.graph.bgp(ps, None), fill=not ctx.limited)
 
-    def path(self, s: tuple, path: tuple, o: tuple, ctx: Context) -> Relation:
+    def path(self, s: tuple, path: tuple, o: tuple, ctx: Context, given: Relation | None = None) -> Relation:
+        """given: what the path will be joined with; its values of an end seed closures."""
         kind = path[0]
         if kind == "iri":
             return ctx.graph.bgp([(s, path, o)], None)
         if kind == "inv":
-            return self.path(o, path[1], s, ctx)
+            return self.path(o, path[1], s, ctx, given)
         if kind == "seq":
             rel, here, hidden = unit(self.spark), s, []
             for k, p in enumerate(path[1]):
                 there = o if k == len(path[1]) - 1 else ("var", self.name("step"))
-                rel = join(rel, self.path(here, p, there, ctx))
+                rel = join(rel, self.path(here, p, there, ctx, rel if k else given))
                 if there is not o:
                     hidden.append(there[1])
                 here = there
             rest = [n for n in rel.vars if n not in hidden]
             return rel.keep(rest) if rest else Relation(rel.df.select(F.lit(1).alias("__path")), {})
         if kind == "alt":
-            rels = [self.path(s, p, o, ctx) for p in path[1]]
+            rels = [self.path(s, p, o, ctx, given) for p in path[1]]
             out = rels[0]
             for r in rels[1:]:
                 out = union(out, r)
@@ -445,15 +447,19 @@ class Compiler:
                     rest = [n for n in r.vars if n != p[1]]
                     sides.append(r.keep(rest) if rest else Relation(r.df.select(F.lit(1).alias("__path")), {}))
             return sides[0] if len(sides) == 1 else union(*sides)
-        return self.closed(s, kind, path[1], o, ctx)
+        return self.closed(s, kind, path[1], o, ctx, given)
 
-    def closed(self, s: tuple, kind: str, inner: tuple, o: tuple, ctx: Context) -> Relation:
-        """p+, p* and p?: distinct pairs, from the end that is known."""
+    def closed(self, s: tuple, kind: str, inner: tuple, o: tuple, ctx: Context, given: Relation | None = None) -> Relation:
+        """p+, p* and p?: distinct pairs, from the end that is known, or that given binds in each solution."""
         x, y = ("var", self.name("x")), ("var", self.name("y"))
         r = self.path(x, inner, y, ctx)
         pairs = r.df.select(to_term(r.e(x[1])).col.alias("x"), to_term(r.e(y[1])).col.alias("y"))
         fixed = lambda t: None if t[0] == "var" else to_term(constant(t)).col
-        pairs = closure(pairs, kind, fixed(s), fixed(o), lambda: self.nodes(ctx.graph))
+        seeds: dict[str, DataFrame] = {}
+        if s[0] == o[0] == "var" and given is not None and kind != "opt":
+            known = [(end, t[1]) for end, t in (("starts", s), ("ends", o)) if t[1] in given.vars and given.vars[t[1]].definite]
+            seeds = {end: given.df.select(to_term(given.e(n)).col.alias("x")) for end, n in known[:1]}
+        pairs = closure(pairs, kind, fixed(s), fixed(o), lambda: self.nodes(ctx.graph), **seeds)
         return matched(pairs, [(s, E("term", F.col("x")), True), (o, E("term", F.col("y")), True)])
 
     def nodes(self, graph: Graph) -> DataFrame:
