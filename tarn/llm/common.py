@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -67,12 +69,35 @@ _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow(run, schema), in batches of BATCH_BYTES at most; a smaller bound of the session's own stays."""
+    """df.mapInArrow(run, schema), in batches of BATCH_BYTES at most; a smaller bound of the session's own stays.
+
+    Workers live on for other tasks, so what a task has used goes back to the system at its end.
+    """
     conf, units = df.sparkSession.conf, {"": 0, "k": 10, "m": 20, "g": 30}
     own = re.fullmatch(r"(\d+)\s*([kmg]?)b?", str(conf.get(_BATCH_CONF)).lower())
     if not own or not 0 < int(own[1]) << units[own[2]] <= BATCH_BYTES:
         conf.set(_BATCH_CONF, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Returns this process's free memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def redealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df with whole-numbered keys that a join deals out anew after a grouping by them: only then can it split a hot key."""
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0)) for k in keys})
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

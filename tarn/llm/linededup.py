@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import WORD_BREAK, in_arrow, let, written
+from tarn.llm.common import WORD_BREAK, in_arrow, let, redealt, written
 
 KEY = "doc_id bigint, same bigint"
 LINE = {"doc_id": pa.int64(), "same": pa.int64(), "h": pa.int64(), "g": pa.int32(), "words": pa.int32(), "span": pa.int32(), "places": pa.list_(pa.int32())}
@@ -185,7 +185,7 @@ def deletions(all_lines: DataFrame, least_words: int) -> DataFrame:
     last = F.max(F.struct("doc_id", "same")).alias("last")
     shared = all_lines.groupBy("h", "g").agg(first, last).where("first.doc_id <> last.doc_id or first.same <> last.same")
     shared = shared.select("h", "g", F.col("first.doc_id").alias("a"), F.col("first.same").alias("a_same"), F.col("first.places").alias("a_places"))
-    rows = all_lines.join(shared, ["h", "g"]).where("a <> doc_id or a_same <> same").select("doc_id", "same", "words", "span", "places", "a", "a_same", "a_places")
+    rows = all_lines.join(redealt(shared, "h", "g"), ["h", "g"]).where("a <> doc_id or a_same <> same").select("doc_id", "same", "words", "span", "places", "a", "a_same", "a_places")
 
     def run(batches):
         key, mine, out = None, [], []

@@ -34,7 +34,7 @@ CONTEXT_MATCHES = 20
 #: Weight of a match by its edits.
 DECAY = (1.0, 0.8, 0.6)
 #: Words, and states, that a Python worker keeps at most.
-KEPT_WORDS, KEPT_STATES = 200_000, 20_000
+KEPT_WORDS, KEPT_STATES = 200_000, 40_000
 RUN = re.compile(r"(.)\1{2,}")
 
 
