@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,7 +150,7 @@ def java_pattern(text: str):
     """The JVM's compiled pattern; None where it is malformed."""
     try:
         return SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(text)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return None
 
 

@@ -1,9 +1,8 @@
-"""Results as text: SPARQL JSON, XML, CSV and TSV. Rows stay distributed; text() joins them on the driver."""
+"""Results as text: SPARQL JSON, XML, CSV and TSV. rows() keeps them distributed, a column of text; to_*() pass them through the driver one by one."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +11,24 @@ from tarn.functions.terms import XSD, box, n3
 from tarn.operators.relation import Relation
 
 
+def rows(rel: Relation, form: str, compat: bool = False) -> DataFrame:
+    """A column `row` with the text of each solution in json, xml, csv or tsv, without what stands around and between them."""
+    if form == "json":
+        return json_rows(rel)
+    if form == "xml":
+        return xml_rows(rel)
+    return separated_rows(rel, {"csv": ",", "tsv": "\t"}[form], compat)
+
+
 def json_rows(rel: Relation) -> DataFrame:
-    """A column `row` with the JSON object of each solution; unbound variables are left out."""
+    """Unbound variables are left out."""
     cols = []
     for n in rel.vars:
         c = box(rel.e(n))
         kind = F.when(c["k"] == "i", "uri").when(c["k"] == "b", "bnode").otherwise("literal")
         plain = c["dt"].isin("", XSD + "string")
-        s = F.struct(kind.alias("type"), c["v"].alias("value"), F.when(c["lang"] != "", c["lang"]).alias("xml:lang"), F.when((c["lang"] == "") & ~plain, c["dt"]).alias("datatype"))
+        datatype = F.when((c["lang"] == "") & ~plain, c["dt"])
+        s = F.struct(kind.alias("type"), c["v"].alias("value"), F.when(c["lang"] != "", c["lang"]).alias("xml:lang"), datatype.alias("datatype"))
         cols.append(F.when(c.isNotNull(), s).alias(n))
     return rel.df.select((F.to_json(F.struct(*cols)) if cols else F.lit("{}")).alias("row"))
 
@@ -48,7 +57,7 @@ def tsv_cell(e) -> Column:
     return F.when(c["k"] == "i", F.concat(F.lit("<"), c["v"], F.lit(">"))).when(c["k"] == "b", F.concat(F.lit("_:"), c["v"])).when(c["k"] == "l", literal)
 
 
-def to_separated(rel: Relation, separator: str, compat: bool = False) -> Iterator[str]:
+def separated_rows(rel: Relation, separator: str, compat: bool = False) -> DataFrame:
     """CSV (',') or TSV (tab). compat: cells are N3 texts as they are, and unbound ones are left out."""
     names = list(rel.vars)
     tsv = separator == "\t"
@@ -58,8 +67,12 @@ def to_separated(rel: Relation, separator: str, compat: bool = False) -> Iterato
         cells = [F.coalesce(tsv_cell(rel.e(n)), F.lit("")) for n in names]
     else:
         cells = [F.coalesce(quoted(F.when(box(rel.e(n))["k"] == "b", n3(rel.e(n))).otherwise(box(rel.e(n))["v"])), F.lit("")) for n in names]
-    yield separator.join(("?" + n if tsv and not compat else n) for n in names) + "\n"
-    for r in rel.df.select(F.concat_ws(separator, *cells).alias("row")).toLocalIterator():
+    return rel.df.select(F.concat_ws(separator, *cells).alias("row"))
+
+
+def to_separated(rel: Relation, separator: str, compat: bool = False) -> Iterator[str]:
+    yield separator.join(("?" + n if separator == "\t" and not compat else n) for n in rel.vars) + "\n"
+    for r in separated_rows(rel, separator, compat).toLocalIterator():
         yield r["row"] + "\n"
 
 
@@ -67,23 +80,31 @@ def ask_separated(answer: bool) -> str:
     return f"boolean\n{str(answer).lower()}\n"
 
 
+def xml_text(c: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
+def xml_rows(rel: Relation) -> DataFrame:
+    """Unbound variables are left out."""
+    cells = [F.lit("<result>")]
+    for n in rel.vars:
+        c = box(rel.e(n))
+        tagged = lambda tag, text, more="": F.concat(F.lit(f"<{tag}"), F.lit(more) if isinstance(more, str) else more, F.lit(">"), text, F.lit(f"</{tag}>"))
+        of_literal = F.when(c["lang"] != "", F.concat(F.lit(' xml:lang="'), xml_text(c["lang"]), F.lit('"')))
+        of_literal = of_literal.when(c["dt"].isin("", XSD + "string"), F.lit("")).otherwise(F.concat(F.lit(' datatype="'), xml_text(c["dt"]), F.lit('"')))
+        v = xml_text(c["v"])
+        x = F.when(c["k"] == "i", tagged("uri", v)).when(c["k"] == "b", tagged("bnode", v)).otherwise(tagged("literal", v, of_literal))
+        cells.append(F.when(c.isNotNull(), F.concat(F.lit(f'<binding name="{n}">'), x, F.lit("</binding>"))).otherwise(F.lit("")))
+    return rel.df.select(F.concat(*cells, F.lit("</result>")).alias("row"))
+
+
 def to_xml(rel: Relation) -> Iterator[str]:
-    yield '<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#">\n<head>' + "".join(f'<variable name="{n}"/>' for n in rel.vars) + "</head>\n<results>\n"
-    for r in rel.df.select(*[box(rel.e(n)).alias(n) for n in rel.vars]).toLocalIterator():
-        cells = []
-        for n in rel.vars:
-            if (t := r[n]) is None:
-                continue
-            v = escape(t["v"])
-            if t["k"] == "i":
-                x = f"<uri>{v}</uri>"
-            elif t["k"] == "b":
-                x = f"<bnode>{v}</bnode>"
-            else:
-                tag = f' xml:lang="{t["lang"]}"' if t["lang"] else "" if t["dt"] in ("", XSD + "string") else f' datatype="{escape(t["dt"])}"'
-                x = f"<literal{tag}>{v}</literal>"
-            cells.append(f'<binding name="{n}">{x}</binding>')
-        yield "<result>" + "".join(cells) + "</result>\n"
+    names = "".join(f'<variable name="{n}"/>' for n in rel.vars)
+    yield f'<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#">\n<head>{names}</head>\n<results>\n'
+    for r in xml_rows(rel).toLocalIterator():
+        yield r["row"] + "\n"
     yield "</results>\n</sparql>\n"
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn import edge_queries
 from tarn.plans.compiler import NAMESPACES, Options
 from tarn.session import SparqlSession
 from tarn.sources.graphs import COLUMNS, Dataset, TriplesGraph
@@ -227,8 +228,8 @@ CACHED_SQL = "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regio
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: runner(q) for n, (q, _) in Q.items()} | {n: update_runner(q) for n, (q, _) in UPDATES.items()} | {"bgp_cache": cached}
+    return {n: runner(q) for n, (q, _) in Q.items()} | {n: update_runner(q) for n, (q, _) in UPDATES.items()} | {"bgp_cache": cached} | edge_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: sql for n, (_, sql) in (Q | UPDATES).items()} | {"bgp_cache": CACHED_SQL}
+    return {n: sql for n, (_, sql) in (Q | UPDATES).items()} | {"bgp_cache": CACHED_SQL} | edge_queries.oracle_sql()

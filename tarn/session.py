@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 
 from tarn.operators import results
 from tarn.operators.cache import BGPCache
+from tarn.operators.relation import Relation
 from tarn.operators.update import Updater
 from tarn.plans.compiler import Compiler, Options
 from tarn.plans.parser import Query, parse_query, parse_update
@@ -44,9 +47,21 @@ class SparqlSession:
         if q.form == "ask":
             answer = c.ask(q).first()["answer"]
             return {"json": results.ask_json, "xml": results.ask_xml, "csv": results.ask_separated, "tsv": results.ask_separated}[form](answer)
-        rel = c.solutions(q)
-        parts = {"json": lambda: results.to_json(rel), "xml": lambda: results.to_xml(rel), "csv": lambda: results.to_separated(rel, ",", compat), "tsv": lambda: results.to_separated(rel, "\t", compat)}
-        return results.text(parts[form]())
+        return results.text(self.parts(c.solutions(q), form, compat))
+
+    @staticmethod
+    def parts(rel: Relation, form: str, compat: bool = False) -> Iterator[str]:
+        if form == "json":
+            return results.to_json(rel)
+        return results.to_xml(rel) if form == "xml" else results.to_separated(rel, {"csv": ",", "tsv": "\t"}[form], compat)
+
+    def streamed(self, text: str, form: str = "json", compat: bool = False) -> Iterator[str]:
+        """A SELECT's result in pieces, of which the driver holds those of one partition at a time."""
+        return self.parts(Compiler(self.dataset, self.options).solutions(self.parse(text)), form, compat)
+
+    def formatted_rows(self, text: str, form: str = "json", compat: bool = False) -> DataFrame:
+        """A SELECT's rows as text, distributed; to be written to files."""
+        return results.rows(Compiler(self.dataset, self.options).solutions(self.parse(text)), form, compat)
 
     def update(self, text: str) -> None:
         Updater(self.dataset, self.options).execute(parse_update(text, self.prefixes))

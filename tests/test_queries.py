@@ -53,3 +53,15 @@ def test_filters_reach_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan and "o_totalprice" not in plan
     plan = queries.queries()["bgp_constant_iri"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_custkey,7)" in plan
+
+
+def plan_of(spark, name):
+    return queries.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["optional_twice", "optional_of_union", "minus_after_optional", "exists_after_optional", "not_exists_after_optional"])
+def test_unbound_variables_need_no_nested_loop(spark, name):
+    plan = plan_of(spark, name)
+    loops = plan.count("BroadcastNestedLoopJoin") + plan.count("CartesianProduct")
+    # rows of that union that bind neither shared variable are compatible with all: one loop for matches, one for the rest
+    assert loops == (2 if name == "optional_of_union" else 0)
