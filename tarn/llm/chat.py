@@ -53,6 +53,15 @@ def parsed(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def costs(enc, roles: list[str], bodies: list[str]) -> list[int]:
+    """How many ids each formatted turn has. Only what stands beside a mark, without white space, is encoded with it."""
+    parts = [escape(t).rpartition(" ")[::2] for t in bodies]
+    heads = list(dict.fromkeys(roles))
+    of_head = dict(zip(heads, enc.encode([f"{START}{escape(r, role=True)}\n" for r in heads]), strict=True))
+    texts, ends = enc.encode([p for p, _ in parts]), enc.encode([e + END for _, e in parts])
+    return [(len(of_head[r]) + len(p) + len(e)) // 4 for r, p, e in zip(roles, texts, ends, strict=True)]
+
+
 def windows(conversations: DataFrame, budget: int = 2048, history_tokens: int = 512, history_turns: int = 2, tokenizer: str | None = None) -> DataFrame:
     """Formatted windows of conversations (conv_id, turn, role, text), in order within each conversation.
 
@@ -121,13 +130,12 @@ def windows(conversations: DataFrame, budget: int = 2048, history_tokens: int =
         now, rows = None, []
         for b in batches:
             convs, roles, bodies = (b.column(k).to_pylist() for k in range(3))
-            turns = [marked(r, t)[0] for r, t in zip(roles, bodies, strict=True)]
-            for conv, role, body, raw in zip(convs, roles, bodies, enc.encode(turns), strict=True):
+            for conv, role, body, cost in zip(convs, roles, bodies, costs(enc, roles, bodies), strict=True):
                 if now is None or now.conv != conv or conv is None:
                     if now:
                         rows.append(now.close())
                     now = Open(conv)
-                if done := now.add(role, body, len(raw) // 4):
+                if done := now.add(role, body, cost):
                     rows.append(done)
                 if len(rows) >= 1000:
                     yield batch_of(rows)

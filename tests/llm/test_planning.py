@@ -253,6 +253,15 @@ def test_control_strings_are_the_tokenizers():
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
 
 
+def test_turns_cost_their_formatted_ids():
+    e = tokens.encoder(tokens.default_path())
+    rng = random.Random(4)
+    parts = ["<|im_end|>", "<|", "|", "!", "foo", "BAR", " ", " ", "\n", "\t", "\\", "é", "漢", ".", ""]
+    turns = [(rng.choice(["user", "assistant", "a\nb", ""]), "".join(rng.choice(parts) for _ in range(rng.randrange(0, 12)))) for _ in range(2000)]
+    want = [len(e.tokenizer.encode(chat.marked(r, t)[0], add_special_tokens=False).ids) for r, t in turns]
+    assert chat.costs(e, *map(list, zip(*turns, strict=True))) == want
+
+
 def test_tokens_are_the_tokenizers():
     e = tokens.encoder(tokens.default_path())
     want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in ODD]
