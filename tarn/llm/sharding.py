@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import let, ranked
+from tarn.llm.common import let, ranked, redealt
 
 #: Bits of each dimension's levels: source, language and size.
 BITS, DIMENSIONS = 10, 3
@@ -128,7 +128,7 @@ def sharded(docs: DataFrame, shards: int = 40, with_text: bool = False) -> DataF
     d = d.withColumn("place__", hilbert([F.col("source__"), F.col("lang__"), size_level(F.col("size"))], BITS)).drop("source__", "lang__")
     text_key = ["same__", "size", "text_crc32"]
     copies = d.groupBy(*text_key).agg(F.min("place__").alias("first__"), F.max("place__").alias("last__")).where("first__ < last__").drop("last__")
-    d = d.join(copies, text_key, "left").withColumn("place__", F.coalesce("first__", "place__")).drop("first__").withColumn("all__", F.lit(0))
+    d = d.join(redealt(copies, *text_key), text_key, "left").withColumn("place__", F.coalesce("first__", "place__")).drop("first__").withColumn("all__", F.lit(0))
     d = ranked(d, ["all__"], ["place__", *text_key, "doc_id"], "shards")
     each, extra = F.floor(F.col("total__") / shards), F.col("total__") % shards
     long_ = extra * (each + 1)
