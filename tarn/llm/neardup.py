@@ -36,6 +36,8 @@ LEAST_PERCENT = 75
 LARGE = 5000
 #: Documents whose full sets a task holds at once.
 HELD = 5000
+#: Edges of a round in a file, about.
+FILE_EDGES = 1_000_000
 #: Texts are hashed in groups of at most so many, and of about so many bytes; a longer text is a group of its own.
 GROUP, GROUP_BYTES = 500, 2_000_000
 _MIX = np.random.default_rng(20240229)
@@ -150,22 +152,25 @@ def filed(reps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) of every end of edges (a, b): the smallest id that it reaches. Stars are contracted until they stay."""
+    """(id, comp) of every end of edges (a, b): the smallest id that it reaches. Stars are contracted until they stay.
+
+    Rounds are written in about a file for FILE_EDGES edges, not one for each partition.
+    """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, last = written(e, "edges"), None
     while True:
+        n, total = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, total) == last:
+            return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
+        last = n, total
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(redealt(low, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
         small = large.join(redealt(low, "u"), "u").select(ends.alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        old, e = e, written(small, "edges")
+        old, e = e, written(small.coalesce(max(1, -(-2 * n // FILE_EDGES))), "edges")
         forget(old)
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == last:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
-        last = state
 
 
 def near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
