@@ -1,11 +1,12 @@
 """The pipeline's stages on a small folder of tables."""
 
-import zlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarn.llm import queries
+from tarn.llm import mixing, queries
 from tarn.llm.common import written
 
 CLEAN = "sentence number {0} tells of the quiet river {0} and the boat {0} that went down it {0} days ago with nobody on board"
@@ -50,10 +51,25 @@ def test_stages(spark, folder):
     assert sorted(map(key, run)) == sorted(map(key, packed))
     order = [r.doc_id for r in spark.read.parquet(docs.inputFiles()[0].rsplit("/", 1)[0]).selectExpr("doc_id", "_metadata.file_name f", "_metadata.row_index i").orderBy("f", "i").collect()]
     assert len(order) == len(kept["mix"])
+    mixed = sorted(mixing.mixed(spark.createDataFrame(rows, docs.schema).where(F.col("doc_id").isin(order) | F.col("doc_id").isNull())).collect(), key=lambda r: r.position)
+    sources = {r[0]: r[3] or "" for r in rows}
+    assert Counter(sources[i] for i in order) == Counter(r.source_key for r in mixed)
+    lead = [sources[i] for i in order[:12]]  # the smallest sources aren't left for the end
+    assert set(lead) == {r.source_key for r in mixed[:12]}
+
+
+def test_stages_on_empty_tables(spark, folder, tmp_path):
+    path, _ = folder
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{path}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, str(tmp_path)), name)
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_registry():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mix", "pack"]
-    assert zlib.crc32(b"7") % 5 in range(5)
