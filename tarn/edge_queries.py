@@ -9,13 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.functions.own import own_function
 from tarn.functions.terms import XSD, E
 from tarn.operators import results
 from tarn.operators.cache import BGPCache
 from tarn.operators.lineage import shared_dir
 from tarn.plans.compiler import Compiler, Options
 from tarn.session import SparqlSession
-from tarn.sources.graphs import COLUMNS, Dataset, Graph, TriplesGraph
+from tarn.sources.graphs import COLUMNS, Dataset, TriplesGraph
 from tarn.sources.rdf import read_rdf, write_ntriples
 from tarn.sources.tables import NS, data_graph
 
@@ -231,6 +232,12 @@ Q: dict[str, tuple[str, str]] = {
         """SELECT n_name AS n, rank FROM (SELECT n_name, row_number() OVER (ORDER BY CASE WHEN contains(n_name, '1') THEN 0 ELSE 1 END, 'urn:data:nation/' || n_nationkey) - 1 AS rank FROM nation)
         WHERE rank BETWEEN 3 AND 8""",
     ),
+    # tables
+    "pages_and_turns": (
+        "SELECT ?r (COUNT(*) AS ?n) { ?t ex:conv_id ?c ; ex:role ?r ; ex:turn ?k . ?p ex:page_id ?c ; ex:url ?u } GROUP BY ?r",
+        "SELECT role AS r, count(*) AS n FROM conversations JOIN pages ON page_id = conv_id GROUP BY role",
+    ),
+    "vector_labels": ("SELECT ?l (COUNT(?v) AS ?n) { ?v ex:label ?l } GROUP BY ?l", "SELECT CAST(label AS BIGINT) AS l, count(*) AS n FROM embeddings GROUP BY label"),
     # forms
     "ask_false": ("ASK { ?x ex:c_acctbal ?b FILTER(?b > 1e9) }", "SELECT false AS answer"),
     "construct_unbound": (
@@ -443,6 +450,24 @@ def letters(args: list[E]) -> tuple[E, object]:
     return E("str", F.lit("")), F.split(args[0].col, "")
 
 
+def capitals(text: str | None) -> str | None:
+    """A term with capitals, for literals alone."""
+    return text.upper() if text and text.startswith('"') else None
+
+
+def signs(text: str) -> list[str]:
+    """The first two signs of a literal, in English."""
+    return [f'"{c}"@en' for c in text.strip('"')[:2]]
+
+
+def failing(text: str) -> str:
+    raise ValueError(text)
+
+
+OWN_TERMS = {"urn:f:capitals": own_function(capitals), "urn:f:signs": own_function(signs, many=True), "urn:f:failing": own_function(failing)}
+OWN_TERMS_QUERY = """SELECT ?k (STR(?u) AS ?a) ?i (LANG(?l) AS ?g) (STR(?l) AS ?c) ?b
+{ ?x ex:n_nationkey ?k ; ex:n_name ?n BIND(<urn:f:capitals>(?n) AS ?u) BIND(<urn:f:capitals>(?x) AS ?i) BIND(<urn:f:signs>(?n) AS ?l) BIND(<urn:f:failing>(?n) AS ?b) }"""
+
 REGION_ROWS = "SELECT 'urn:g:l' AS g, s, p, o FROM"
 RUNS: dict[str, tuple[Run, str]] = {
     "update_load": (update_load, f"{BOTH} UNION ALL {REGION_ROWS} ({REGIONS})"),
@@ -456,6 +481,10 @@ RUNS: dict[str, tuple[Run, str]] = {
         runner("SELECT ?k ?d ?l { ?x ex:n_nationkey ?k ; ex:n_name ?n BIND(<urn:f:twice>(?k) AS ?d) BIND(<urn:f:letters>(SUBSTR(?n, 1, 2)) AS ?l) }", functions={"urn:f:twice": twice, "urn:f:letters": letters}),
         "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey * 2 AS BIGINT) AS d, unnest(string_split(substr(n_name, 1, 2), '')) AS l FROM nation",
     ),
+    "own_functions_of_terms": (
+        runner(OWN_TERMS_QUERY, functions=OWN_TERMS),
+        f"SELECT {KEY}, upper(n_name) AS a, {NOTHING} AS i, 'en' AS g, unnest(string_split(substr(n_name, 1, 2), '')) AS c, {NOTHING} AS b FROM nation",
+    ),
     **{f"results_{form}": (formatted(form), sql) for form, sql in FORMS.items()},
 }
 

@@ -7,8 +7,8 @@ unbound is split into the rows that bind it and those that don't, so all parts s
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ class Relation:
         return Relation(self.df.withColumn(name, e.col), self.vars | {name: Var(e.kind, e.prefix, e.lang, definite)})
 
     def keep(self, names: list[str]) -> Relation:
-        return Relation(self.df.select(*[F.col(f"`{n}`") for n in names]), {n: self.vars[n] for n in names})
+        return Relation(self.df.select(*quoted(names)), {n: self.vars[n] for n in names})
 
     def as_kind(self, name: str, kind: str, prefix: str = "", lang: str = "") -> Relation:
         v = self.vars[name]
@@ -50,6 +50,10 @@ class Relation:
         return Relation(self.df.withColumn(name, e.col), self.vars | {name: Var(kind, prefix, lang, v.definite)})
 
 
+def quoted(names: Iterable[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
+
+
 def unit(spark: SparkSession) -> Relation:
     """One solution that binds nothing."""
     return Relation(spark.range(1).select(F.lit(1).alias("__unit")), {})
@@ -71,7 +75,7 @@ def alike(a: Relation, b: Relation, names: list[str]) -> tuple[Relation, Relatio
 
 def renamed(b: Relation, names: list[str]) -> DataFrame:
     """b's DataFrame with __r behind the named columns and without helper columns."""
-    return b.df.select(*[F.col(f"`{n}`").alias(f"{n}__r" if n in names else n) for n in b.vars])
+    return b.df.selectExpr(*[f"`{n}` AS `{n}__r`" if n in names else f"`{n}`" for n in b.vars])
 
 
 def shared(a: Relation, b: Relation) -> list[str]:
@@ -112,12 +116,12 @@ def join(a: Relation, b: Relation, hint: str | None = None) -> Relation:
     else:
         df = a.df.join(right, equalities(names), "inner")
     vars_ = a.vars | {n: v for n, v in b.vars.items() if n not in a.vars}
-    return Relation(df.select(*[F.col(f"`{n}`") for n in vars_]) if vars_ else df, vars_)
+    return Relation(df.select(*quoted(vars_)) if vars_ else df, vars_)
 
 
 def equalities(names: list[str]) -> Column:
     """Equality of the named columns of both sides, which rows of both bind."""
-    return reduce(lambda c, d: c & d, [F.col(f"`{n}`") == F.col(f"`{n}__r`") for n in names], F.lit(True))
+    return F.expr(" AND ".join(f"`{n}` = `{n}__r`" for n in names) or "true")
 
 
 def left_join(a: Relation, b: Relation, condition=None) -> Relation:
@@ -142,7 +146,7 @@ def left_join(a: Relation, b: Relation, condition=None) -> Relation:
     if condition is not None:
         on = on & F.coalesce(condition(Relation(a.df, both)), F.lit(False))
     df = a.df.join(right, on, "left")
-    return Relation(df.select(*[F.col(f"`{n}`") for n in both]), both)
+    return Relation(df.select(*quoted(both)), both)
 
 
 def union(a: Relation, b: Relation) -> Relation:
@@ -198,9 +202,9 @@ def marked(a: Relation, b: Relation, name: str, condition=None) -> Relation:
         names = shared(a, b)
         a, b = alike(a, b, names)
         keys = b.keep(names).df.distinct() if names else b.df.select(F.lit(1).alias("__one")).limit(1)
-        right = keys.select(*[F.col(f"`{n}`").alias(f"{n}__r") for n in names], F.lit(True).alias(name))
+        right = keys.selectExpr(*[f"`{n}` AS `{n}__r`" for n in names], f"true AS `{name}`")
         df = a.df.join(right, equalities(names), "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
-        return Relation(df.select(*[F.col(f"`{n}`") for n in a.vars], name), a.vars | {name: Var("bool")})
+        return Relation(df.select(*quoted(a.vars), name), a.vars | {name: Var("bool")})
     yes, no = (semi(a, b, holds, condition).extend(name, E("bool", F.lit(holds)), definite=True) for holds in (True, False))
     return union(yes, no)
 

@@ -159,18 +159,22 @@ class MappedGraph(Graph):
             self.tables[name] = df, dict(df.dtypes)
         return self.tables[name]
 
+    def column(self, m: TableMap, name: str, kind: str) -> Column:
+        """A column, cast where it isn't of that type already."""
+        return F.col(name) if self.table(m.name)[1][name] == kind else F.col(name).cast(kind)
+
     def value(self, m: TableMap, predicate: str) -> E:
         if predicate in m.references:
             c, prefix = m.references[predicate]
-            return E("key", F.col(c).cast("bigint"), prefix)
+            return E("key", self.column(m, c, "bigint"), prefix)
         c = m.columns[predicate]
         t = self.table(m.name)[1][c]
         kind = KINDS.get(t, "dbl" if t.startswith("decimal") else "int")
-        return E(kind, F.col(c).cast({"int": "bigint", "dbl": "double", "dt": "timestamp_ntz"}.get(kind, "string")) if kind != "bool" else F.col(c))
+        return E(kind, self.column(m, c, {"int": "bigint", "dbl": "double", "dt": "timestamp_ntz", "bool": "boolean"}.get(kind, "string")))
 
     def subject(self, m: TableMap, df: DataFrame) -> tuple[DataFrame, E]:
         if m.key:
-            return df, E("key", F.col(m.key).cast("bigint"), m.prefix)
+            return df, E("key", self.column(m, m.key, "bigint"), m.prefix)
         same = F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(1)))
         df = df.withColumn("__id", F.concat(F.hex(F.xxhash64(*df.columns)), F.lit("-"), same.cast("string")))
         return df, E("iri", F.concat(F.lit(m.prefix), F.col("__id")))

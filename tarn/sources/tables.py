@@ -22,31 +22,45 @@ TABLES = {
     "documents": ("doc", "doc_id", ["doc_id", "text", "lang", "source", "n_chars"], {}),
     "labels": ("doc", "doc_id", ["quality", "toxic"], {}),
     "benchmark": ("item", "item_id", ["item_id", "item_text"], {}),
+    "pages": ("page", "page_id", ["page_id", "url", "html"], {}),
+    "conversations": ("turn", None, ["conv_id", "turn", "role", "turn_text"], {}),
+    "embeddings": ("vec", "vec_id", ["vec_id", "label"], {}),
 }
 
+#: Predicates that don't have their column's name.
+COLUMN_OF = {"item_text": "text", "turn_text": "text"}
+
 
 def table_maps(names: list[str] | None = None) -> list[TableMap]:
     out = []
     for table, (iri, key, columns, references) in TABLES.items():
         if names is None or table in names:
             to = lambda t: f"{NS}{TABLES[t][0] if t in TABLES else t}/"
-            cols = {NS + c: c if c != "item_text" else "text" for c in columns}
+            cols = {NS + c: COLUMN_OF.get(c, c) for c in columns}
             out.append(TableMap(table, f"{NS}{iri}/", key, cols, {NS + p: (c, to(t)) for p, (c, t) in references.items()}, f"{NS}{table.capitalize()}"))
     return out
 
 
 #: Schemas of Parquet tables by path, time of change and length: a later query needs no job to find them.
 _SCHEMAS: dict[tuple[str, int, int], StructType] = {}
+#: DataFrames of single files by session and the same: a later query needn't list them again. Folders may change inside.
+_FILES: dict[tuple, DataFrame] = {}
+MOST_FILES = 1000
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     status = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath)
     key = path, status.getModificationTime(), status.getLen()
-    if key in _SCHEMAS:
-        return spark.read.schema(_SCHEMAS[key]).parquet(path)
-    df = spark.read.parquet(path)
+    whole = spark._jsparkSession.sessionUUID(), *key
+    if whole in _FILES:
+        return _FILES[whole]
+    df = spark.read.schema(_SCHEMAS[key]).parquet(path) if key in _SCHEMAS else spark.read.parquet(path)
     _SCHEMAS[key] = df.schema
+    if status.isFile():
+        if len(_FILES) >= MOST_FILES:
+            _FILES.clear()
+        _FILES[whole] = df
     return df
 
 

@@ -8,7 +8,7 @@ import pytest
 from tarn import queries
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents labels benchmark".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels benchmark pages conversations embeddings".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
 
 
