@@ -52,8 +52,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted_rows: int = 50_000, p
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text__"))
     d = d.join(F.broadcast(trusted_ids(labels, trusted_rows)), "doc_id", "left")  # at most trusted_rows ids
     g = d.select("good__", F.explode(grams(F.col("text__"))).alias("gram"))
-    n = g.groupBy("gram").agg(F.count("*").alias("n"), F.count("good__").alias("good"))
-    n = n.select((F.floor(F.col("gram") / BUCKETS) + 1).cast("int").alias("kind"), (F.col("gram") % BUCKETS).alias("bucket"), "n", "good")
+    # both kinds under one key: BUCKETS groups fit the generated code's hash map
+    pair, good = F.col("gram") >= BUCKETS, F.col("good__").isNotNull()
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    n = g.groupBy(F.col("gram").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(count(~pair, "n1"), count(pair, "n2"), count(~pair & good, "good1"), count(pair & good, "good2"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n{k}").alias("n"), F.col(f"good{k}").alias("good")) for k in (1, 2)])
+    n = n.select("bucket", F.inline(kinds)).where("n > 0")
     n = written(n, "ngram-counts")
     all_ = n.groupBy("kind").agg(F.sum("n").alias("n_all"), F.sum("good").alias("good_all"))
     share = F.col("n") / F.col("n_all")
@@ -72,10 +76,11 @@ def ratio_array(ratios: DataFrame) -> Column:
 
 def repeated_words(w: Column) -> Column:
     """How many of the words w are in three-word windows that occur again. Only texts with such a window are sorted."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    of_words = lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - 2), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+    windows = let(F.transform(w, lambda x: F.xxhash64(x)), of_words)
 
     def again(h):  # places of such windows, ascending
-        by_hash = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        by_hash = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         like = lambda s, x, k: F.coalesce(x["h"] == F.get(s, k)["h"], F.lit(False))
         twice = let(by_hash, lambda s: F.filter(s, lambda x, k: like(s, x, k - 1) | like(s, x, k + 1)))
         return F.sort_array(F.transform(twice, lambda x: x["i"]))
@@ -97,7 +102,7 @@ def base_counts(text: Column) -> Column:
         lambda x: F.struct(
             x["n_words"].alias("n_words"),
             F.length(F.regexp_replace(text, WORD_BREAK, "")).cast("bigint").alias("word_chars"),
-            F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
+            F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
             let(lines, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("bigint").alias("n_dup_lines"),
             x["n_repeat_words"].alias("n_repeat_words"),
         ),
