@@ -70,6 +70,27 @@ def test_near_duplicates_refuses_percents_that_lose_links(docs):
             operator(docs, percent=74)
 
 
+def test_near_duplicates_find_all_links_of_a_query_set(spark):
+    """Rows whose id is divisible by 50 against all rows, by brute force: every link is within a component."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    component = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    sets = {r.doc_id: words_of(r.text or "") for r in docs.collect()}
+    holders = defaultdict(list)
+    for i in (i for i in sets if i % 50 == 0):
+        for x in sets[i]:
+            holders[x].append(i)
+    links = found = 0
+    for j, s in sets.items():
+        for i, n in Counter(i for x in s for i in holders.get(x, ())).items():
+            if i != j and 100 * n >= 75 * (len(s) + len(sets[i]) - n):
+                links += 1
+                found += component[i] == component[j]
+    assert links > 20 and found == links
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LARGE", 4)
     monkeypatch.setattr(neardup, "HELD", 3)
