@@ -11,7 +11,7 @@ from tarn.operators.lineage import cut
 from tarn.operators.relation import unit
 from tarn.plans.compiler import Compiler, Context, Options
 from tarn.plans.parser import Update
-from tarn.sources.graphs import COLUMNS, TRIPLES, Dataset, Graph, TriplesGraph, empty_graph
+from tarn.sources.graphs import COLUMNS, Dataset, Graph, TriplesGraph, empty_graph
 from tarn.sources.rdf import read_rdf
 
 
@@ -67,9 +67,9 @@ class Updater:
                 df = df.join(reduce(DataFrame.unionByName, c["delete"]).distinct(), COLUMNS, "left_anti")
             if "insert" in c:
                 df = df.unionByName(reduce(DataFrame.unionByName, c["insert"])).distinct()
-            new[iri] = cut(df.select(*COLUMNS))
+            new[iri] = self.table(iri).snapshot(df)
         for iri, df in new.items():
-            self.table(iri).df = df
+            self.table(iri).swap(df)
 
     def create(self, u: Update) -> None:
         if self.dataset.has(u.target):
@@ -86,10 +86,14 @@ class Updater:
                     raise UpdateError("there is no other graph to be the default one")
                 return
             iri = next(iter(self.dataset.named))
+            self.dataset.default.drop()
             self.dataset.default, self.dataset.default_iri = self.dataset.named.pop(iri), iri
         elif u.target in ("ALL", "NAMED"):
-            self.dataset.named.clear()
+            for iri in list(self.dataset.named):
+                self.dataset.get(iri).drop()
+                self.dataset.delete(iri)
         elif self.dataset.has(u.target):
+            self.dataset.get(u.target).drop()
             self.dataset.delete(u.target)
         elif not u.silent:
             raise UpdateError(f"there is no graph {u.target}")
@@ -104,7 +108,7 @@ class Updater:
         else:
             raise UpdateError(f"there is no graph {u.target}")
         for iri in iris:
-            self.table(iri).df = self.spark.createDataFrame([], TRIPLES)
+            self.table(iri).clear()
 
     def transfer(self, u: Update) -> None:
         """ADD, COPY and MOVE; onto itself a graph stays as it is."""
@@ -117,19 +121,21 @@ class Updater:
             return
         df = self.table(source).df
         t = self.table(target)
-        t.df = cut(t.df.unionByName(df).distinct()) if u.kind == "add" else df
+        if u.kind == "add":
+            t.insert(df)
+        else:
+            t.swap(df)
         if u.kind == "move":
-            self.table(source).df = self.spark.createDataFrame([], TRIPLES)
+            self.table(source).clear()
             if source is not None:
                 self.dataset.delete(source)
 
     def load(self, u: Update) -> None:
         try:
-            df = read_rdf(self.spark, u.source)
+            df = cut(read_rdf(self.spark, u.source))  # what a file's text raises must show here
         except Exception as e:
             if u.silent:
                 return
             raise UpdateError(f"{u.source} can't be read") from e
-        t = self.table(None if u.target == "DEFAULT" else u.target)
-        t.df = cut(t.df.unionByName(df).distinct())
+        self.table(None if u.target == "DEFAULT" else u.target).insert(df)
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
@@ -15,6 +16,7 @@ from tarn.functions.scalar import CASTS, EXTENSIONS, UnsupportedOperation, evalu
 from tarn.functions.terms import E, boxed, constant, ebv, lexical, n3, null, order_keys, to_term
 from tarn.operators import search
 from tarn.operators.cache import BGPCache
+from tarn.operators.lineage import cut
 from tarn.operators.paths import closure
 from tarn.operators.relation import Relation, Var, distinct, join, left_join, marked, minus, semi, union, unit
 from tarn.plans.parser import Query
@@ -339,9 +341,9 @@ class Compiler:
             graph = self.options.services.get(term[1]) or self.dataset.get(term[1])
             rel = self.group(group, replace(ctx, graph=graph, key=term[1], named=None))
             if silent:
-                rel.df.limit(1).count()  # what a lazy source raises must show here
+                rel.df = cut(rel.df)  # what any of its partitions raises must show here
             return rel
-        except (KeyError, ValueError, OSError, PySparkException):
+        except (KeyError, ValueError, OSError, PySparkException, Py4JJavaError):
             if not silent:
                 raise
             return unit(self.spark)

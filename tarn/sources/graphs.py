@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.terms import E, XSD, boxed, constant, equal, lexical, same_iri, to_term
+from tarn.operators.lineage import cut
 from tarn.operators.relation import Relation, Var, join, union, unit
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -72,6 +73,9 @@ class Graph:
         obj = E("term", boxed(F.col("o_k"), F.col("o_v"), F.col("o_dt"), F.col("o_lang")))
         return matched(df, [(s, E("term", subject_term(F.col("s"))), True), (pred, E("iri", F.col("p")), True), (o, obj, True)])
 
+    def drop(self) -> None:
+        """Called when a data set removes the graph for good."""
+
     def cardinality(self, p: tuple) -> float:
         """A guess at how many triples match, for the order of joins: the more is known, the fewer."""
         return sum(w for t, w in zip(p, (4, 1, 3), strict=True) if t[0] == "var")
@@ -103,6 +107,22 @@ class TriplesGraph(Graph):
     def triples(self) -> DataFrame:
         return self.df
 
+    def snapshot(self, df: DataFrame) -> DataFrame:
+        """df computed once, to be swapped in; the graph stays as it is."""
+        return cut(df.select(*COLUMNS))
+
+    def swap(self, df: DataFrame) -> None:
+        self.df, self.counts = df, None
+
+    def insert(self, triples: DataFrame) -> None:
+        self.swap(self.snapshot(self.df.unionByName(triples.select(*COLUMNS)).distinct()))
+
+    def delete(self, triples: DataFrame) -> None:
+        self.swap(self.snapshot(self.df.join(triples.select(*COLUMNS).distinct(), COLUMNS, "left_anti")))
+
+    def clear(self) -> None:
+        self.swap(self.spark.createDataFrame([], TRIPLES))
+
     def analyze(self) -> None:
         """Counts triples by predicate, for the order of joins (10,000 predicates at most are kept)."""
         self.counts = {r[0]: r[1] for r in self.df.groupBy("p").count().orderBy(F.desc("count")).limit(10_000).collect()}

@@ -1,7 +1,8 @@
-"""RDF files as triple tables. N-Triples are read by executors, line by line; Turtle, for small files, by the driver."""
+"""RDF files as triple tables, read by executors: N-Triples line by line, Turtle document by document."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +65,31 @@ def row(t: tuple) -> tuple:
     return (*head, "l", o[1], o[2], o[3]) if o[0] == "lit" else (*head, "i" if o[0] == "iri" else "b", o[1], "", "")
 
 
+def scoped(t: tuple, scope: str) -> tuple:
+    s, p, kind, value, *rest = t
+    return (f"_:b{scope}-{s[2:]}" if s.startswith("_:") else s, p, kind, f"b{scope}-{value}" if kind == "b" else value, *rest)
+
+
 def turtle_triples(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(sorted({row(t) for t in TurtleParser(text).document()}), TRIPLES)
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """A Turtle document is one unit, so the driver parses it; large data should come as N-Triples or Parquet."""
-    return turtle_triples(spark, spark.read.text(path, wholetext=True).first()[0])
+    """A file, or a folder of them. A document is one unit that a task holds, so large data should come in many files.
+
+    Labels of blank nodes are a document's own: a hash of the file's name goes before them. A malformed document is an
+    error of the job that reads it.
+    """
+
+    def run(batches):
+        for b in batches:
+            for text, scope in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
+                rows = sorted({scoped(row(t), scope) for t in TurtleParser(text).document()})
+                columns = zip(*rows, strict=True) if rows else ((),) * len(COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], COLUMNS)
+
+    files = spark.read.text(path, wholetext=True).select("value", F.lower(F.hex(F.xxhash64("_metadata.file_path"))).alias("scope"))
+    return files.mapInArrow(run, TRIPLES).distinct()
 
 
 def read_rdf(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.functions.terms import E
 from tarn.operators.cache import BGPCache, canonical, embedded
@@ -12,7 +13,8 @@ from tarn.plans.compiler import NAMESPACES, Options
 from tarn.plans.parser import SparqlSyntaxError, parse_query, parse_update
 from tarn.session import SparqlSession
 from tarn.sources.graphs import Dataset, TriplesGraph, empty_graph
-from tarn.sources.rdf import TurtleParser, parsed_lines, read_rdf, turtle_triples, write_ntriples
+from tarn.sources.rdf import TurtleParser, parsed_lines, read_rdf, read_turtle, turtle_triples, write_ntriples
+from tarn.sources.stored import GraphChanged, StoredGraph
 
 PREFIXES = {"": "http://x/", "xsd": "http://www.w3.org/2001/XMLSchema#", "fn": NAMESPACES["functions"], "agg": NAMESPACES["aggregates"], "fts": NAMESPACES["search"]}
 TURTLE = """@prefix : <http://x/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
@@ -243,6 +245,60 @@ def test_load(spark, two, graph, tmp_path):
     assert counts(two)[1]["http://g/l"] == graph.count()
 
 
+def test_load_of_what_cannot_be_read(two, tmp_path):
+    n = counts(two)
+    (tmp_path / "bad.nt").write_text("<http://a> <http://p> .\n")
+    (tmp_path / "bad.ttl").write_text("@prefix : <http://x/> . :a :b")
+    for name in ("bad.nt", "bad.ttl"):
+        two.update(f"LOAD SILENT <file://{tmp_path}/{name}>")
+        with pytest.raises(UpdateError):
+            two.update(f"LOAD <file://{tmp_path}/{name}>")
+    assert counts(two) == n
+
+
+def test_turtle_files(spark, tmp_path):
+    (tmp_path / "all").mkdir()
+    for name in "ab":
+        (tmp_path / "all" / f"{name}.ttl").write_text("@prefix : <http://x/> . _:n :p 1 ; :q [ :r _:n ] . :s :p 1 .")
+    (tmp_path / "all" / "c.ttl").write_text("# nothing\n")
+    got = read_turtle(spark, str(tmp_path / "all")).collect()
+    assert len(got) == 7 and len({r.s for r in got}) == 5  # of each document two blank nodes; :s once
+    assert {r.o_v for r in got if r.o_k == "b"} <= {r.s[2:] for r in got}
+    assert read_rdf(spark, str(tmp_path / "all" / "c.ttl")).isEmpty()
+
+
+def test_stored_graphs(spark, graph, tmp_path):
+    at = lambda name: StoredGraph(spark, f"{tmp_path}/{name}")
+    s = SparqlSession(Dataset(at("default"), factory=lambda iri: at(iri.rsplit("/", 1)[-1])), PREFIXES)
+    assert s.query("SELECT * { ?s ?p ?o }").count() == 0
+    s.update("INSERT DATA { :a :p 1, 2 . GRAPH <http://g/b> { :b :p 3 } } ; DELETE { ?s :p 1 } INSERT { ?s :q 1 } WHERE { ?s :p 1 }")
+    again = at("default")
+    assert again.version == 2 and {(r.s, r.p, r.o_v) for r in again.triples().collect()} == {("http://x/a", "http://x/p", "2"), ("http://x/a", "http://x/q", "1")}
+    assert at("b").triples().count() == 1
+    late = at("default")
+    again.insert(graph)
+    again.delete(graph.where("o_k = 'l'"))
+    with pytest.raises(GraphChanged):
+        late.clear()
+    assert late.triples().count() == 2
+    late.refresh()
+    assert late.version == 4 and late.triples().count() == 2 + graph.where("o_k <> 'l'").count()
+    late.vacuum()
+    assert late.triples().count() == at("default").triples().count() == 2 + graph.where("o_k <> 'l'").count()
+    late.snapshot(graph)  # a writer that died
+    assert at("default").version == 4
+    s.update("COPY <http://g/b> TO <http://g/c> ; ADD <http://g/c> TO <http://g/d> ; DROP GRAPH <http://g/b>")
+    assert [at(x).triples().count() for x in "bcd"] == [0, 1, 1]
+
+
+def test_silent_service_that_fails_late(spark, graph):
+    bad = graph.unionByName(graph.withColumn("s", F.when(F.col("p") != "", F.raise_error(F.lit("late"))).otherwise("s")))
+    s = SparqlSession(TriplesGraph(graph), PREFIXES, Options(services={"http://s/": TriplesGraph(bad)}))
+    assert s.query("SELECT * { ?s :age ?a SERVICE SILENT <http://s/> { ?s :knows ?o } }").count() == 3
+    with pytest.raises(Exception, match="late"):
+        s.query("SELECT * { ?s :age ?a SERVICE <http://s/> { ?s :knows ?o } }").collect()
+
+
 def test_ntriples_lines(spark):
     text = ['<http://a> <http://p> "q\\"\\n\\u00e9\\\\ "@EN .', "_:b <http://p> _:c . # end", "# no", "", '<a:b> <http://p> "1"^^<http://t> .']
     got = parsed_lines(spark.createDataFrame([(x,) for x in text], "value string")).collect()
