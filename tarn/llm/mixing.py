@@ -17,7 +17,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ranked
+from tarn.llm.common import from_driver, ranked
 
 #: Times are kept in whole numbers with so many bits behind the point; they only order blocks.
 _POINT = 96
@@ -100,7 +100,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float
     for slot, (s, b) in enumerate(order):
         rows.append((s, b, slot, at))
         at += min(each, counts[s] - b * each)
-    places = spark.createDataFrame(rows, "source_key string, block bigint, slot bigint, at__ bigint")
+    places = from_driver(spark, rows, "source_key string, block bigint, slot bigint, at__ bigint", "schedule")
     places = F.broadcast(places) if len(rows) <= BROADCAST_ROWS else places
     d = d.withColumn("block", F.floor(F.col("rank__") / each)).join(places, ["source_key", "block"])
     return d.withColumn("position", F.col("at__") + F.col("rank__") % each).select(*own, "source_key", "block", "slot", "position")

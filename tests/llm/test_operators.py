@@ -388,6 +388,11 @@ def test_mixing(spark, docs, empty):
     assert sorted(r.position for r in joined) == list(range(len(DOCS)))
     kept = mixing.in_mixed_order(docs)
     assert kept.columns == docs.columns and kept.count() == len(DOCS)
+    odd = ['a"\\b', "line\nbreak", "é😀\u2028", "", None, "  "]
+    rows = mixing.mixed(spark.createDataFrame([(k, odd[k % 6]) for k in range(60)], "doc_id bigint, source string")).collect()
+    assert Counter(r.source for r in rows) == Counter(odd * 10) and sorted(r.position for r in rows) == list(range(60))
+    plan = mixing.mixed(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
 def base_counts(text):
