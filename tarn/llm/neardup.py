@@ -333,8 +333,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     several = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     rows = rows.join(several, "key", "left_semi").join(classes.select("id", "sig", F.col("n_shingles").alias("size")), "id")
     blocks = max(1, -(-sets.count() // HELD))
-    found = confirmed_blocks(written(compared(rows, blocks), "near"), sets, blocks, percent)
-    seen = components(found.unionByName(seen.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+    near_ = written(compared(rows, blocks), "near")
+    found = confirmed_blocks(near_, sets, blocks, percent)
+    first, seen = seen, components(found.unionByName(seen.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+    for read in (classes, buckets, sets, near_, first):  # the result reads d and seen alone
+        forget(read)
     out = d.select("doc_id", "n_shingles").join(seen.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
