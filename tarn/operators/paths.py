@@ -12,30 +12,41 @@ from tarn.operators.lineage import cut
 
 
 def closure(
-    pairs: DataFrame, kind: str, start: Column | None, end: Column | None, nodes: Callable[[], DataFrame], starts: DataFrame | None = None, ends: DataFrame | None = None
+    pairs: DataFrame,
+    kind: str,
+    start: Column | None,
+    end: Column | None,
+    nodes: Callable[[DataFrame | None], DataFrame],
+    starts: DataFrame | None = None,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct pairs (x, y) of plus, star or opt over the step's pairs.
 
     A known start or end, or starts or ends (x), seed the search, so only what they reach is visited; an end alone
-    walks backwards. Each round is stored once. star and opt add each node, or the known end itself, paired with itself.
+    walks backwards. Each round is stored once. star and opt add each node, or the known end itself, paired with itself;
+    nodes(terms) gives those of the terms (x) that are nodes, nodes(None) all.
     """
     pairs = pairs.distinct()
+    seeds = starts if starts is not None else ends
+    if seeds is not None:
+        seeds = cut(seeds.distinct())
     if kind == "opt":
         out = pairs
         if start is not None:
             out = out.where(F.col("x") == start)
         if end is not None:
             out = out.where(F.col("y") == end)
-        return out.unionByName(same(pairs, start, end, nodes)).distinct()
+        if seeds is not None:
+            out = seeded(out, seeds) if starts is not None else turned(seeded(turned(out), seeds))
+        return out.unionByName(same(pairs, start, end, nodes, seeds)).distinct()
     backwards = start is None and starts is None and (end is not None or ends is not None)
     steps = cut(turned(pairs) if backwards else pairs)
-    seed, seeds = (end, ends) if backwards else (start, starts)
+    seed = end if backwards else start
     new = steps
     if seed is not None:
         new = steps.where(F.col("x") == seed)
     elif seeds is not None:
-        seeds = cut(seeds.distinct())
-        new = steps.join(seeds, "x", "left_semi")
+        new = seeded(steps, seeds)
     onward = steps.select(F.col("x").alias("via"), "y")
     rounds = [cut(new)]
     while not rounds[-1].isEmpty():
@@ -48,19 +59,22 @@ def closure(
         seen = seen.where(F.col("y") == end)
     if kind == "plus":
         return seen
-    every = nodes if seeds is None else lambda: nodes().join(seeds, "x", "left_semi")
-    return seen.unionByName(same(pairs, start, end, every)).distinct()
+    return seen.unionByName(same(pairs, start, end, nodes, seeds)).distinct()
+
+
+def seeded(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    return pairs.join(seeds, "x", "left_semi")
 
 
 def turned(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))
 
 
-def same(pairs: DataFrame, start: Column | None, end: Column | None, nodes: Callable[[], DataFrame]) -> DataFrame:
-    """The pairs of a node with itself."""
+def same(pairs: DataFrame, start: Column | None, end: Column | None, nodes: Callable[[DataFrame | None], DataFrame], seeds: DataFrame | None) -> DataFrame:
+    """The pairs of a node with itself, of the seeds if there are any."""
     if start is not None and end is not None:
         return pairs.sparkSession.range(1).select(start.alias("x"), end.alias("y")).where("x = y")
     if start is not None or end is not None:
         one = start if start is not None else end
         return pairs.sparkSession.range(1).select(one.alias("x"), one.alias("y"))
-    return nodes().select("x", F.col("x").alias("y"))
+    return nodes(seeds).select("x", F.col("x").alias("y"))

@@ -458,19 +458,12 @@ class Compiler:
         pairs = r.df.select(to_term(r.e(x[1])).col.alias("x"), to_term(r.e(y[1])).col.alias("y"))
         fixed = lambda t: None if t[0] == "var" else to_term(constant(t)).col
         seeds: dict[str, DataFrame] = {}
-        if s[0] == o[0] == "var" and given is not None and kind != "opt":
+        if s[0] == o[0] == "var" and given is not None:
             known = [(end, t[1]) for end, t in (("starts", s), ("ends", o)) if t[1] in given.vars and given.vars[t[1]].definite]
             seeds = {end: given.df.select(to_term(given.e(n)).col.alias("x")) for end, n in known[:1]}
-        pairs = closure(pairs, kind, fixed(s), fixed(o), lambda: self.nodes(ctx.graph), **seeds)
+        pairs = closure(pairs, kind, fixed(s), fixed(o), ctx.graph.nodes, **seeds)
         return matched(pairs, [(s, E("term", F.col("x")), True), (o, E("term", F.col("y")), True)])
 
-    def nodes(self, graph: Graph) -> DataFrame:
-        """All subjects and objects of a graph, as terms."""
-        from tarn.sources.graphs import subject_term
-
-        t = graph.triples()
-        return t.select(subject_term(F.col("s")).alias("x")).unionByName(t.select(boxed(F.col("o_k"), F.col("o_v"), F.col("o_dt"), F.col("o_lang")).alias("x"))).distinct()
-
     # expressions
     def expr(self, e: tuple, rel: Relation) -> E:
         kind = e[0]

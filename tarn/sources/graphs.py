@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.terms import E, XSD, boxed, constant, equal, lexical, same_iri, to_term
+from tarn.functions.terms import DATATYPE_OF, E, XSD, boxed, constant, equal, lexical, same_iri, to_term
 from tarn.operators.lineage import cut
 from tarn.operators.relation import Relation, Var, join, union, unit
 
@@ -73,6 +73,12 @@ class Graph:
         obj = E("term", boxed(F.col("o_k"), F.col("o_v"), F.col("o_dt"), F.col("o_lang")))
         return matched(df, [(s, E("term", subject_term(F.col("s"))), True), (pred, E("iri", F.col("p")), True), (o, obj, True)])
 
+    def nodes(self, among: DataFrame | None = None) -> DataFrame:
+        """The subjects and objects as distinct terms (x): all, or those among distinct terms (x)."""
+        t = self.triples()
+        both = t.select(subject_term(F.col("s")).alias("x")).unionByName(t.select(boxed(F.col("o_k"), F.col("o_v"), F.col("o_dt"), F.col("o_lang")).alias("x")))
+        return (both if among is None else both.join(among, "x", "left_semi")).distinct()
+
     def drop(self) -> None:
         """Called when a data set removes the graph for good."""
 
@@ -143,6 +149,9 @@ class UnionGraph(Graph):
     def triples(self) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b), [g.triples() for g in self.graphs]).distinct()
 
+    def nodes(self, among: DataFrame | None = None) -> DataFrame:
+        return reduce(DataFrame.unionByName, [g.nodes(among) for g in self.graphs]).distinct()
+
 
 @dataclass
 class TableMap:
@@ -162,6 +171,13 @@ class TableMap:
 
 KINDS = {"string": "str", "double": "dbl", "float": "dbl", "boolean": "bool", "timestamp_ntz": "dt", "timestamp": "dt", "date": "str"}
 
+#: So many keys or hashes at most are sent to all executors, to be looked for in a column.
+MOST_BROADCAST_KEYS = 100_000
+
+
+def row_hash(df: DataFrame) -> Column:
+    return F.hex(F.xxhash64(*df.columns))
+
 
 class MappedGraph(Graph):
     def __init__(self, spark: SparkSession, maps: list[TableMap], read: Callable[[str], DataFrame]):
@@ -196,7 +212,7 @@ class MappedGraph(Graph):
         if m.key:
             return df, E("key", self.column(m, m.key, "bigint"), m.prefix)
         same = F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(1)))
-        df = df.withColumn("__id", F.concat(F.hex(F.xxhash64(*df.columns)), F.lit("-"), same.cast("string")))
+        df = df.withColumn("__id", F.concat(row_hash(df), F.lit("-"), same.cast("string")))
         return df, E("iri", F.concat(F.lit(m.prefix), F.col("__id")))
 
     def bgp(self, patterns: list[tuple], wanted: set[str] | None = None) -> Relation:
@@ -230,6 +246,50 @@ class MappedGraph(Graph):
             parts.insert(0, (s, e, True))
         return matched(df, parts)
 
+    def nodes(self, among: DataFrame | None = None) -> DataFrame:
+        """Given terms are counted by prefix, type and datatype first; only columns that may hold them are read, natively."""
+        if among is None:
+            return super().nodes()
+        x, e = F.col("x"), F.lit("")
+        prefixes = sorted({m.prefix for m in self.maps} | {p for m in self.maps for _, p in m.references.values()})
+        tests = {p: (x["k"] == "i") & x["v"].startswith(p) for p in prefixes} | {t: (x["k"] == "i") & (x["v"] == t) for t in self.by_type}
+        literal = (x["k"] == "l") & (x["lang"] == "")
+        tests |= {("l", k): literal & (x["dt"] == DATATYPE_OF[k]) for k in sorted({*KINDS.values(), "int"})}
+        counts = dict(zip(tests, among.agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(tests.values())]).first(), strict=True))
+        found = [among.where("false")]
+        for p in filter(counts.get, prefixes):
+            found += self.keys_among(p, among.where(tests[p]), counts[p])
+        for t in filter(counts.get, self.by_type):
+            found += [self.read(m.name).limit(1).select(boxed("i", F.lit(t), e, e).alias("x")) for m in self.maps if m.type_iri == t]
+        kinds = {k for k in {*KINDS.values(), "int"} if counts["l", k]}
+        for m in self.maps if kinds else ():
+            for v in (self.value(m, c) for c in m.columns):
+                if v.kind in kinds:
+                    texts = self.read(m.name).select(lexical(v).alias("v")).join(among.where(tests["l", v.kind]).select(x["v"].alias("v")), "v", "left_semi")
+                    found.append(texts.distinct().select(boxed("l", F.col("v"), F.lit(DATATYPE_OF[v.kind]), e).alias("x")))
+        return reduce(DataFrame.unionByName, found).distinct()
+
+    def keys_among(self, prefix: str, iris: DataFrame, count: int) -> list[DataFrame]:
+        """Which of the IRIs of a prefix, as terms (x), are subjects or references."""
+        e, text = F.lit(""), F.substring(F.col("x")["v"], len(prefix) + 1, 1 << 30)
+        small = F.broadcast if count <= MOST_BROADCAST_KEYS else lambda df: df
+        keys = small(iris.select(text.alias("__text"), text.try_cast("bigint").alias("__key")).where("__text = string(__key)").select("__key"))
+        found = []
+        for m in self.maps:
+            columns = [self.value(m, p).col for p, (_, to) in m.references.items() if to == prefix]
+            if m.prefix == prefix and m.key:
+                columns.append(self.column(m, m.key, "bigint"))
+            for c in columns:
+                met = self.read(m.name).select(c.alias("__key")).join(keys, "__key", "left_semi").distinct()
+                found.append(met.select(boxed("i", F.concat(F.lit(prefix), F.col("__key").cast("string")), e, e).alias("x")))
+            if m.prefix == prefix and not m.key:
+                # equal rows have equal hashes, so rows of other hashes don't change the numbers among equal ones
+                df = self.read(m.name)
+                hashes = small(iris.select(F.substring_index(text, "-", 1).alias("__hash")).distinct())
+                df, s = self.subject(m, df.join(hashes, row_hash(df) == F.col("__hash"), "left_semi"))
+                found.append(df.select(to_term(s).col.alias("x")).join(iris, "x", "left_semi"))
+        return found
+
     def triples(self) -> DataFrame:
         """All tables as triples, a scan of each."""
         return reduce(lambda a, b: a.unionByName(b), [self.table_triples(m) for m in self.maps])

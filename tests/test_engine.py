@@ -6,13 +6,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.functions.terms import E
+from tarn.functions.terms import XSD, E
 from tarn.operators.cache import BGPCache, canonical, embedded
+from tarn.operators.lineage import cut
 from tarn.operators.update import UpdateError
 from tarn.plans.compiler import NAMESPACES, Options
 from tarn.plans.parser import SparqlSyntaxError, parse_query, parse_update
 from tarn.session import SparqlSession
-from tarn.sources.graphs import Dataset, TriplesGraph, empty_graph
+from tarn.sources import graphs
+from tarn.sources.graphs import Dataset, Graph, MappedGraph, TableMap, TriplesGraph, UnionGraph, empty_graph
 from tarn.sources.rdf import TurtleParser, parsed_lines, read_rdf, read_turtle, turtle_triples, write_ntriples
 from tarn.sources.stored import GraphChanged, StoredGraph
 
@@ -341,6 +343,70 @@ def test_closures_visit_what_their_seeds_reach(session, spark, monkeypatch):
     assert starts == {"http://x/bob"}
 
 
+ROWS = {
+    "a": ("key bigint, name string, at timestamp_ntz, day date, price decimal(9,2), ok boolean, up bigint", [
+        "1, 'x', timestamp_ntz'2020-01-01 01:02:03.5', date'2020-01-01', 1.50, true, 1", "2, '5', null, null, 7.00, null, 9", "-3, null, null, date'2021-01-01', null, false, null", "null, 'urn:a/1', null, null, 0.00, true, 2",
+    ]),
+    "b": ("n int, x double, owner bigint", ["1, 0.5D, 1", "1, 0.5D, 1", "1, 0.5D, 77", "2, double('NaN'), null", "2, -0.0D, null"]),
+    "c": ("key bigint, name string", []),
+}
+
+
+@pytest.fixture(scope="module")
+def mapped(spark):
+    maps = [
+        TableMap("a", "urn:a/", "key", {f"urn:p:{c}": c for c in ("key", "name", "at", "day", "price", "ok")}, {"urn:p:up": ("up", "urn:a/")}, "urn:A"),
+        TableMap("b", "urn:b/", None, {"urn:p:n": "n", "urn:p:x": "x"}, {"urn:p:owner": ("owner", "urn:a/"), "urn:p:far": ("owner", "urn:far/")}, "urn:B"),
+        TableMap("c", "urn:c/", "key", {"urn:p:cname": "name"}, {}, "urn:C"),
+    ]
+
+    def read(name):
+        columns, rows = ROWS[name]
+        empty = spark.createDataFrame([], columns)
+        casts = [f"CAST(col{i + 1} AS {f.dataType.simpleString()}) AS {f.name}" for i, f in enumerate(empty.schema)]
+        return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({r})" for r in rows)).selectExpr(*casts) if rows else empty
+
+    return lambda: MappedGraph(spark, maps, read)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_nodes_among_terms_are_those_of_all_triples(spark, mapped, monkeypatch, most):
+    monkeypatch.setattr(graphs, "MOST_BROADCAST_KEYS", most)
+    g = mapped()
+    every = {r.x for r in Graph.nodes(g).collect() if r.x is not None}
+    ids = sorted(x.v for x in every if x.v.startswith("urn:b/"))
+    assert len(ids) == 5 and sum(i.endswith("-2") for i in ids) == 1
+    near = [i + s for i in ids for s in ("0", "-1")] + [i.lower() for i in ids if i.lower() != i]
+    absent = ["urn:a/01", "urn:a/+1", "urn:a/ 1", "urn:a/-0", "urn:a/", "urn:a/x", "urn:a/99999999999999999999", "urn:a/3", "urn:b/1", "urn:b/", "urn:far/2", "urn:c/1", "urn:C", "urn:D", *near]
+    terms = [("i", v, "", "") for v in absent] + [(x.k if x.k == "l" else "b", x.v, x.dt, "en") for x in every] + [("l", x.v, XSD + "token", "") for x in every] + [("l", "00.5", XSD + "double", "")]
+    among = cut(spark.createDataFrame([(tuple(x),) for x in every] + [(t,) for t in terms], "x struct<k:string,v:string,dt:string,lang:string>"))
+    got = [r.x for r in g.nodes(among).collect()]
+    assert len(got) == len(set(got)) and set(got) == every
+    assert {r.x for r in UnionGraph([g, mapped()]).nodes(among).collect()} == every
+    part = lambda v, dt: F.concat_ws(" ", F.regexp_extract(v, "^urn:[^/]*", 0), dt)
+    for (p,) in spark.createDataFrame([(x,) for x in every], among.schema).select(part(F.col("x.v"), F.col("x.dt"))).distinct().collect():
+        some = among.where(part(F.col("x.v"), F.col("x.dt")) == p)
+        assert {r.x for r in mapped().nodes(some).collect()} == every & {r.x for r in some.collect()}
+
+
+@pytest.mark.parametrize("path", [":p*", ":p?", "(:p|:q)*", "^:q*"])
+def test_seeded_closures_are_the_joined_ones(edges, path):
+    free = values(edges.query(f"SELECT ?x ?y {{ ?x {path} ?y }}"))
+    for v, k in (("x", 0), ("y", 1)):
+        assert values(edges.query(f"SELECT ?x ?y {{ VALUES ?{v} {{ :n3 :n5 :far }} ?x {path} ?y }}")) == [r for r in free if r[k] in ("http://x/n3", "http://x/n5")]
+
+
+@pytest.mark.parametrize(("pattern", "read"), [
+    ("VALUES ?x { <urn:a/1> <urn:a/999> } ?x <urn:p:up>* ?z", {"a", "b"}),
+    ("?x <urn:p:cname> ?n ; <urn:p:cname>? ?z", {"c"}),
+    ("?x <urn:p:far>* ?z . ?z a <urn:C>", {"b", "c"}),
+])
+def test_seeded_closures_read_only_tables_that_may_hold_their_seeds(mapped, pattern, read):
+    g = mapped()
+    SparqlSession(g).query(f"SELECT * {{ {pattern} }}").collect()
+    assert set(g.tables) == read
+
+
 def test_cache(session):
     cache = session.use_cache(BGPCache(capacity=2))
     q = "SELECT * { { ?s :knows ?o . ?o :knows ?t } UNION { ?a :knows ?b . ?b :knows ?c } }"

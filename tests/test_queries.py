@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tarn import queries
+from tarn.sources.graphs import MappedGraph
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels benchmark pages conversations embeddings".split()
@@ -65,3 +66,11 @@ def test_unbound_variables_need_no_nested_loop(spark, name):
     loops = plan.count("BroadcastNestedLoopJoin") + plan.count("CartesianProduct")
     # rows of that union that bind neither shared variable are compatible with all: one loop for matches, one for the rest
     assert loops == (2 if name == "optional_of_union" else 0)
+
+
+@pytest.mark.parametrize(("name", "tables"), [("path_star_from_values", {"nation", "supplier", "customer"})])
+def test_seeded_closures_read_only_tables_that_may_hold_their_seeds(spark, monkeypatch, name, tables):
+    seen = set()
+    monkeypatch.setattr(MappedGraph, "table", lambda g, t, table=MappedGraph.table: (seen.add(t), table(g, t))[1])
+    queries.queries()[name](spark, DATA)
+    assert seen == tables
