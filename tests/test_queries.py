@@ -68,7 +68,7 @@ def test_unbound_variables_need_no_nested_loop(spark, name):
     assert loops == (2 if name == "optional_of_union" else 0)
 
 
-@pytest.mark.parametrize(("name", "tables"), [("path_star_from_values", {"nation", "supplier", "customer"})])
+@pytest.mark.parametrize(("name", "tables"), [("path_star_from_values", {"nation", "supplier", "customer"}), ("path_star_free", {"nation", "region"})])
 def test_seeded_closures_read_only_tables_that_may_hold_their_seeds(spark, monkeypatch, name, tables):
     seen = set()
     monkeypatch.setattr(MappedGraph, "table", lambda g, t, table=MappedGraph.table: (seen.add(t), table(g, t))[1])
