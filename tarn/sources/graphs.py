@@ -276,20 +276,27 @@ class MappedGraph(Graph):
         keys = small(iris.select(text.alias("__text"), text.try_cast("bigint").alias("__key")).where("__text = string(__key)").select("__key"))
         found = []
         for m in self.maps:
-            columns = [self.value(m, p).col for p, (_, to) in m.references.items() if to == prefix]
+            columns = [(self.read(m.name), self.value(m, p).col) for p, (_, to) in m.references.items() if to == prefix]
             if m.prefix == prefix and m.key:
-                columns.append(self.column(m, m.key, "bigint"))
-            for c in columns:
-                met = self.read(m.name).select(c.alias("__key")).join(keys, "__key", "left_semi").distinct()
+                columns.append((self.subject_rows(m), self.column(m, m.key, "bigint")))
+            for df, c in columns:
+                met = df.select(c.alias("__key")).join(keys, "__key", "left_semi").distinct()
                 found.append(met.select(boxed("i", F.concat(F.lit(prefix), F.col("__key").cast("string")), e, e).alias("x")))
             if m.prefix == prefix and not m.key:
                 # equal rows have equal hashes, so rows of other hashes don't change the numbers among equal ones
-                df = self.read(m.name)
+                df = self.subject_rows(m)
                 hashes = small(iris.select(F.substring_index(text, "-", 1).alias("__hash")).distinct())
                 df, s = self.subject(m, df.join(hashes, row_hash(df) == F.col("__hash"), "left_semi"))
                 found.append(df.select(to_term(s).col.alias("x")).join(iris, "x", "left_semi"))
         return found
 
+    def subject_rows(self, m: TableMap) -> DataFrame:
+        """The rows that are subjects of triples: all of a table with a type, else those with a value."""
+        df = self.read(m.name)
+        if m.type_iri:
+            return df
+        return df.where(reduce(Column.__or__, [self.value(m, p).col.isNotNull() for p in (*m.columns, *m.references)], F.lit(False)))
+
     def triples(self) -> DataFrame:
         """All tables as triples, a scan of each."""
         return reduce(lambda a, b: a.unionByName(b), [self.table_triples(m) for m in self.maps])

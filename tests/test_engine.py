@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.functions.terms import XSD, E
+from tarn.functions.terms import XSD, E, to_term
 from tarn.operators.cache import BGPCache, canonical, embedded
 from tarn.operators.lineage import cut
 from tarn.operators.update import UpdateError
@@ -389,6 +389,20 @@ def test_nodes_among_terms_are_those_of_all_triples(spark, mapped, monkeypatch,
         assert {r.x for r in mapped().nodes(some).collect()} == every & {r.x for r in some.collect()}
 
 
+def test_rows_without_triples_are_no_nodes(spark):
+    maps = [TableMap("a", "urn:a/", "key", {"urn:p:name": "name"}, {"urn:p:up": ("up", "urn:a/")}), TableMap("b", "urn:b/", None, {"urn:p:n": "n"}, {"urn:p:owner": ("owner", "urn:a/")})]
+    rows = {"a": [(1, "x", 2), (3, None, None), (4, None, 1), (9, None, None)], "b": [(None, None), (None, None), (7, None), (None, 9)]}
+    types = {"a": "key bigint, name string, up bigint", "b": "n int, owner bigint"}
+    g = MappedGraph(spark, maps, lambda t: spark.createDataFrame(rows[t], types[t]))
+    subjects = [r.x for m in maps for r in (lambda df, s: df.select(to_term(s).col.alias("x")))(*g.subject(m, g.read(m.name))).collect()]
+    among = cut(spark.createDataFrame([(x,) for x in subjects], "x struct<k:string,v:string,dt:string,lang:string>"))
+    got = sorted(r.x.v for r in g.nodes(among).collect())
+    assert got == sorted({r.x.v for r in Graph.nodes(g).collect()} & {x.v for x in subjects})
+    assert got[:3] == ["urn:a/1", "urn:a/4", "urn:a/9"] and len(got) == 5 and len(subjects) == 8
+    seeded = SparqlSession(g).query("SELECT ?z { VALUES ?x { <urn:a/1> <urn:a/3> <urn:a/9> } ?x <urn:p:up>* ?z }")
+    assert values(seeded) == [("urn:a/1",), ("urn:a/2",), ("urn:a/9",)]
+
+
 @pytest.mark.parametrize("path", [":p*", ":p?", "(:p|:q)*", "^:q*"])
 def test_seeded_closures_are_the_joined_ones(edges, path):
     free = values(edges.query(f"SELECT ?x ?y {{ ?x {path} ?y }}"))
